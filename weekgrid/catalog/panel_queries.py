@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, features, grid, labels
+from .. import schemas as S
+from ..functions import scalars
+from ..operators import cleaning, features, grid, labels, temporal
 from ..operators.features import KEY, WEEK
 from ..plans.panel import PanelInputs, build_panel
 from .registry import query
 
-TRAIN_UNTIL, TEST_FROM = "2000-01-01", "2000-10-01"
+VALID_FROM, TEST_FROM = "2000-01-01", "2000-10-01"
 
 
 def inputs(t) -> PanelInputs:
@@ -38,13 +40,557 @@ def rounded(df, *columns, digits: int = 6):
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
 
 
-@query(
-    "W1_minutes_last_4w",
-    """
-    SELECT g.player_id, g.week_start, g.season, CAST(minutes_last_4w AS DOUBLE) AS minutes_last_4w
-    FROM grid g JOIN workload w USING (player_id, week_start)
-    """,
-)
+def bigints(df):
+    return df.select(*[F.col(c).cast("bigint").alias(c) if k == "int" else F.col(c) for c, k in df.dtypes])
+
+
+# --- cleaning and filters -----------------------------------------------------------------------------
+
+
+@query("R1_lenient_dates", """
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(d) AS BIGINT) AS parsed, min(d) AS first_date, max(d) AS last_date
+FROM (SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS d FROM lineitem)
+""")
+def lenient_dates(t):
+    text = F.when(F.col("l_linenumber") == 7, "not a date").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
+    return t.raw("lineitem").select(scalars.lenient_date(text).alias("d")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("d").alias("parsed"),
+        F.min("d").alias("first_date"), F.max("d").alias("last_date"),
+    )
+
+
+@query("R3_clean_intervals", "SELECT player_id, injury_start, injury_end, days_out, injury_reason FROM injuries")
+def clean_intervals(t):
+    return t.injuries
+
+
+@query("R4_legacy_intervals", """
+SELECT player_id, injury_start AS injury_start_date, injury_end AS injury_end_date, days_out, injury_reason
+FROM raw_injuries WHERE injury_start IS NOT NULL AND injury_end IS NOT NULL AND days_out >= 0
+""")
+def legacy_intervals(t):
+    spelled = t.raw_injuries.withColumnsRenamed({"injury_start": "start", "injury_end": "end", "days_out": "duration"})
+    return cleaning.legacy_intervals(spelled).select(
+        KEY, "injury_start_date", "injury_end_date", "days_out", "injury_reason"
+    )
+
+
+@query("R5_target_league_games", """
+SELECT game_id, competition_id, CAST(season AS BIGINT) AS season, game_date FROM target_games
+""")
+def target_league_games(t):
+    return bigints(target_games(t).select("game_id", "competition_id", "season", "game_date"))
+
+
+@query("R5_target_league_appearances", """
+SELECT player_id, game_id, date, competition_id, CAST(minutes_played AS DOUBLE) AS minutes_played FROM target_appearances
+""")
+def target_league_appearances(t):
+    apps = cleaning.filter_target_leagues(t.games, t.appearances, t.competitions)[1]
+    return apps.select(KEY, "game_id", "date", "competition_id", "minutes_played")
+
+
+@query("R6_listed_league_games", """
+SELECT game_id, competition_id, game_date FROM games WHERE competition_id IN ('GB1','ES1','L1','IT1','FR1')
+""")
+def listed_league_games(t):
+    return cleaning.filter_listed_leagues(t.games, t.appearances)[0].select("game_id", "competition_id", "game_date")
+
+
+@query("R7_coerced_measures", """
+SELECT player_id, CAST(sum(coalesce(minutes_played, 0)) AS DOUBLE) AS minutes, CAST(count(*) AS BIGINT) AS n
+FROM appearances GROUP BY 1
+""")
+def coerced_measures(t):
+    text = t.appearances.withColumn("minutes_played", F.coalesce(F.col("minutes_played").cast("string"), F.lit("n/a")))
+    return cleaning.coerce_measures(text, ["minutes_played"]).groupBy(KEY).agg(
+        F.sum("minutes_played").alias("minutes"), F.count(F.lit(1)).alias("n")
+    )
+
+
+@query("R8_real_transfer_dates", """
+SELECT player_id, transfer_date FROM transfers WHERE transfer_date >= DATE '1950-01-01'
+""")
+def real_transfer_dates(t):
+    return cleaning.drop_placeholder_dates(t.transfers, "transfer_date")
+
+
+@query("R9_sane_heights", """
+SELECT player_id, CASE WHEN height BETWEEN 140 AND 210 THEN height END AS height FROM profiles
+""")
+def sane_heights(t):
+    return t.profiles.select(KEY, cleaning.sane_height("height").alias("height"))
+
+
+@query("R10_ages", """
+SELECT player_id, injury_start, round((injury_start - date_of_birth) / 365.25, 6) AS age
+FROM injuries JOIN profiles USING (player_id) WHERE date_of_birth IS NOT NULL
+""")
+def ages(t):
+    joined = t.injuries.join(t.profiles.filter(F.col("date_of_birth").isNotNull()), KEY)
+    return joined.select(KEY, "injury_start", F.round(cleaning.age_at("injury_start", "date_of_birth"), 6).alias("age"))
+
+
+@query("R11_profile_enrichment", """
+SELECT p.player_id, p.week_start, CASE WHEN height BETWEEN 140 AND 210 THEN height END AS height, position,
+  date_of_birth, round((p.week_start - date_of_birth) / 365.25, 6) AS age
+FROM (SELECT DISTINCT player_id, date_trunc('week', date)::DATE AS week_start FROM appearances) p
+LEFT JOIN profiles USING (player_id)
+""")
+def profile_enrichment(t):
+    weeks = grid.sparse_grid(t.games, t.appearances).select(KEY, WEEK)
+    return rounded(cleaning.enrich_with_profiles(weeks, t.profiles), "age")
+
+
+PANEL_COUNTS = """CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT player_id) AS BIGINT) AS players,
+  CAST(coalesce(sum(target), 0) AS BIGINT) AS positives"""
+
+
+def panel_counts(df, *by):
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("players"),
+        F.coalesce(F.sum("target"), F.lit(0)).cast("bigint").alias("positives"),
+    )
+
+
+@query("R12_strict_rows", f"SELECT competition_id, {PANEL_COUNTS} FROM strict_panel GROUP BY 1")
+def strict_rows(t):
+    return panel_counts(cleaning.strict_rows(panel(t)), "competition_id")
+
+
+@query("R13_known_eligible_rows", f"""
+SELECT competition_id, {PANEL_COUNTS} FROM panel WHERE label_known = 1 AND ineligible = 0 GROUP BY 1
+""")
+def known_eligible_rows(t):
+    return panel_counts(cleaning.known_eligible_rows(panel(t)), "competition_id")
+
+
+@query("R14_time_split", f"""
+SELECT split, {PANEL_COUNTS}, min(week_start) AS first_week, max(week_start) AS last_week
+FROM (SELECT *, CASE WHEN week_start < DATE '{VALID_FROM}' THEN 'train' WHEN week_start < DATE '{TEST_FROM}' THEN 'valid'
+  ELSE 'test' END AS split FROM strict_panel) GROUP BY 1
+""")
+def time_split(t):
+    split = cleaning.with_split(cleaning.strict_rows(panel(t)), VALID_FROM, TEST_FROM)
+    return split.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("players"),
+        F.sum("target").cast("bigint").alias("positives"), F.min(WEEK).alias("first_week"), F.max(WEEK).alias("last_week"),
+    )
+
+
+@query("R15_last_months_split", """
+SELECT player_id, week_start, CAST(week_start >= split_date AS BIGINT) AS is_test, split_date
+FROM (SELECT DISTINCT player_id, date_trunc('week', date)::DATE AS week_start FROM appearances),
+  (SELECT CAST(max(date_trunc('week', date)::DATE) - INTERVAL 6 MONTH AS DATE) AS split_date FROM appearances)
+""")
+def last_months_split(t):
+    weeks = grid.sparse_grid(t.games, t.appearances).select(KEY, WEEK)
+    return bigints(cleaning.last_months_split(weeks))
+
+
+FRAME_SQL = """
+SELECT player_id, week_start, season, target, minutes_last_4w, days_since_last_played, injuries_last_365d,
+  days_out_last_365d, days_since_last_injury_start, days_since_last_injury_end, last_injury_days_out,
+  coalesce(age, 0) AS age,
+  CASE WHEN position = 'Central Midfield' THEN 1 ELSE 0 END AS pos_mid,
+  CASE WHEN position = 'Goalkeeper' THEN 1 ELSE 0 END AS pos_gk
+FROM strict_panel
+"""
+
+
+@query("R16_aligned_model_frame", """
+SELECT season::BIGINT AS season, count(*)::BIGINT AS n, sum(minutes_last_4w)::DOUBLE AS minutes_last_4w,
+  sum(injuries_last_365d)::DOUBLE AS injuries_last_365d, round(sum(coalesce(age, 0)), 3) AS age, 0.0::DOUBLE AS pos_absent
+FROM strict_panel GROUP BY 1
+""")
+def aligned_model_frame(t):
+    wanted = ["minutes_last_4w", "injuries_last_365d", "age", "pos_absent"]
+    frame = cleaning.aligned(cleaning.strict_rows(panel(t)), wanted, keep=["season"])
+    out = frame.groupBy("season").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in wanted])
+    return rounded(bigints(out), "age", digits=3)
+
+
+@query("R18_position_dummies", """
+SELECT player_id, CAST(coalesce(position = 'Central Midfield', false) AS BIGINT) AS "pos_Central Midfield",
+  CAST(coalesce(position = 'Centre-Back', false) AS BIGINT) AS "pos_Centre-Back",
+  CAST(coalesce(position = 'Goalkeeper', false) AS BIGINT) AS pos_Goalkeeper,
+  CAST(coalesce(position = 'Left Winger', false) AS BIGINT) AS "pos_Left Winger",
+  CAST(coalesce(position = 'Sweeper', false) AS BIGINT) AS pos_Sweeper
+FROM profiles
+""")
+def position_dummies(t):
+    people = t.profiles.select(KEY, "position")
+    return bigints(cleaning.with_dummies(people, cleaning.position_categories(people)))
+
+
+@query("R17_feature_columns", """
+SELECT * FROM (VALUES (0::BIGINT, 'minutes_last_4w'), (1, 'days_since_last_played'), (2, 'injuries_last_365d'),
+  (3, 'days_out_last_365d'), (4, 'days_since_last_injury_start'), (5, 'days_since_last_injury_end'),
+  (6, 'last_injury_days_out'), (7, 'age')) v(position, feature)
+UNION ALL
+SELECT 7 + row_number() OVER (ORDER BY position), 'pos_' || position
+FROM (SELECT DISTINCT position FROM profiles WHERE position IS NOT NULL)
+""")
+def feature_column_list(t):
+    frame = panel(t)
+    dummies = cleaning.with_dummies(frame, cleaning.position_categories(t.profiles))
+    names = [(i, c) for i, c in enumerate(cleaning.feature_columns(dummies))]
+    return t.spark.createDataFrame(names, "position bigint, feature string")
+
+
+# --- grids --------------------------------------------------------------------------------------------
+
+
+@query("G1_week_buckets", """
+SELECT date_trunc('week', o_orderdate)::DATE AS week_start, count(*)::BIGINT AS n FROM orders GROUP BY 1
+""")
+def week_buckets(t):
+    day = F.col("o_orderdate").cast("date")
+    return t.raw("orders").groupBy(scalars.monday(day).alias(WEEK)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("G2_league_calendar", "SELECT competition_id, season::BIGINT AS season, week_start FROM league_calendar")
+def league_calendar(t):
+    return bigints(grid.league_calendar(target_games(t)))
+
+
+@query("G3_club_leagues", "SELECT season::BIGINT AS season, club_id, league_competition_id FROM club_leagues")
+def club_leagues(t):
+    return bigints(grid.club_leagues(target_games(t)))
+
+
+@query("G4_attributed_minutes", """
+SELECT player_id, season::BIGINT AS season, league_competition_id, sum(minutes)::DOUBLE AS minutes
+FROM attributed GROUP BY 1, 2, 3
+""")
+def attributed_minutes(t):
+    return bigints(grid.attributed_minutes(grid.club_leagues(target_games(t)), facts(t)))
+
+
+@query("G5_primary_league", "SELECT player_id, season::BIGINT AS season, competition_id FROM primary_league")
+def primary_league(t):
+    minutes = grid.attributed_minutes(grid.club_leagues(target_games(t)), facts(t))
+    return bigints(grid.primary_league(minutes))
+
+
+@query("G6_cohort_grid", "SELECT player_id, week_start, competition_id, season::BIGINT AS season FROM grid")
+def cohort_grid(t):
+    return bigints(cohort(t))
+
+
+@query("G7_appearance_grid", """
+SELECT player_id, week_start, competition_id, season::BIGINT AS season FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id, week_start ORDER BY season, competition_id) AS rn FROM (
+    SELECT s.player_id, s.competition_id, s.season,
+      unnest(generate_series(b.min_week, b.max_week, INTERVAL 7 DAY))::DATE AS week_start
+    FROM (SELECT DISTINCT player_id, g.competition_id, g.season FROM target_appearances a
+          JOIN target_games g ON a.game_id = g.game_id) s
+    JOIN calendar_bounds b ON b.competition_id = s.competition_id AND b.season = s.season)
+) WHERE rn = 1
+""")
+def appearance_grid(t):
+    games, apps = cleaning.filter_target_leagues(t.games, t.appearances, t.competitions)
+    return bigints(grid.appearance_grid(games, apps))
+
+
+@query("G8_players_per_season", """
+SELECT g.season::BIGINT AS season, count(DISTINCT player_id)::BIGINT AS players
+FROM appearances a JOIN games g ON a.game_id = g.game_id GROUP BY 1
+""")
+def players_per_season(t):
+    return bigints(grid.players_per_season(t.games, t.appearances))
+
+
+@query("G9_sparse_grid", """
+SELECT player_id, date_trunc('week', game_date)::DATE AS week_start, sum(coalesce(minutes_played, 0))::DOUBLE AS minutes_week,
+  count(*)::BIGINT AS matches_week
+FROM appearances a JOIN games g ON a.game_id = g.game_id GROUP BY 1, 2
+""")
+def sparse_grid(t):
+    return grid.sparse_grid(t.games, t.appearances)
+
+
+@query("G10_daily_series", """
+SELECT user_id, day, round(coalesce(v, 0), 2) AS value FROM (
+  SELECT user_id, unnest(generate_series(a, b, INTERVAL 1 DAY))::DATE AS day FROM (
+    SELECT user_id, min(ts::DATE) AS a, max(ts::DATE) AS b FROM events GROUP BY 1))
+LEFT JOIN (SELECT user_id, ts::DATE AS day, sum(value) AS v FROM events GROUP BY 1, 2) USING (user_id, day)
+""")
+def daily_series(t):
+    dated = t.raw("events").select("user_id", F.col("ts").cast("date").alias("day"), "value")
+    return rounded(grid.densify_daily(dated, "user_id", "day", "value"), "value", digits=2)
+
+
+# --- windowed features --------------------------------------------------------------------------------
+
+
+def family_query(t, *families):
+    return features.panel_features(cohort(t), families)
+
+
+@query("W1_minutes_last_4w", """
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, minutes_last_4w::DOUBLE AS minutes_last_4w
+FROM grid g JOIN workload w USING (player_id, week_start)
+""")
 def minutes_last_4w(t):
-    out = features.panel_features(cohort(t), [features.workload(facts(t))])
-    return out.select(KEY, WEEK, "season", "minutes_last_4w")
+    out = family_query(t, features.workload(facts(t)))
+    return bigints(out.select(KEY, WEEK, "season", "minutes_last_4w"))
+
+
+@query("W1_W2_W3_workload", """
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, minutes_last_1w::DOUBLE AS minutes_last_1w,
+  minutes_last_2w::DOUBLE AS minutes_last_2w, minutes_last_8w::DOUBLE AS minutes_last_8w,
+  round(minutes_last_1w / (minutes_last_4w / 4 + 1), 6) AS acwr, days_since_last_played::BIGINT AS days_since_last_played
+FROM grid g JOIN workload w USING (player_id, week_start) JOIN last_played l USING (player_id, week_start)
+""")
+def workload(t):
+    out = family_query(t, features.workload(facts(t)))
+    wanted = ["minutes_last_1w", "minutes_last_2w", "minutes_last_8w", "acwr", "days_since_last_played"]
+    return rounded(bigints(out.select(KEY, WEEK, "season", *wanted)), "acwr")
+
+
+CONGESTION = [
+    "matches_last_3d", "matches_last_7d", "matches_last_14d", "matches_last_28d", "minutes_last_10d", "max_minutes_14d",
+]
+TRAVEL = ["away_matches_last_28d", "away_minutes_last_28d", "yellow_cards_last_28d", "red_cards_last_56d"]
+
+
+def doubles(columns):
+    return ", ".join(f"{c}::DOUBLE AS {c}" for c in columns)
+
+
+@query("W4_W5_W6_congestion", f"""
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, {doubles(CONGESTION)}
+FROM grid g JOIN workload w USING (player_id, week_start)
+""")
+def congestion(t):
+    out = family_query(t, features.congestion(facts(t)))
+    return bigints(out.select(KEY, WEEK, "season", *CONGESTION))
+
+
+@query("W7_W8_W9_travel_and_cards", f"""
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, {doubles(TRAVEL)},
+  round(away_matches_last_28d / (matches_last_28d + 0.000001), 6) AS away_match_share_28d
+FROM grid g JOIN workload w USING (player_id, week_start)
+""")
+def travel_and_cards(t):
+    out = family_query(t, features.congestion(facts(t)))
+    return rounded(bigints(out.select(KEY, WEEK, "season", *TRAVEL, "away_match_share_28d")), "away_match_share_28d")
+
+
+@query("W10_days_since_transfer", """
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, days_since_transfer::BIGINT AS days_since_transfer
+FROM grid g JOIN transfer_context USING (player_id, week_start)
+""")
+def days_since_transfer(t):
+    return bigints(family_query(t, features.transfer_context(t.transfers)).drop("competition_id"))
+
+
+@query("W11_market_value", """
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, market_value, market_value_6m,
+  round(ln(1 + market_value), 6) AS log_market_value,
+  round((market_value - market_value_6m) / (market_value_6m + 10000), 6) AS market_value_trend
+FROM grid g JOIN value_context USING (player_id, week_start)
+""")
+def market_value(t):
+    out = family_query(t, features.value_context(t.market_values, "row_order")).drop("competition_id")
+    return rounded(bigints(out), "log_market_value", "market_value_trend")
+
+
+HISTORY_COUNTS = [
+    "injuries_last_30d", "injuries_last_180d", "injuries_last_365d", "days_since_last_injury_start",
+    "days_since_last_injury_end",
+]
+HISTORY_SUMS = ["days_out_last_30d", "days_out_last_180d", "days_out_last_365d", "last_injury_days_out"]
+
+
+@query("W12_W13_W14_injury_history", f"""
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season,
+  {", ".join(f"{c}::BIGINT AS {c}" for c in HISTORY_COUNTS)}, {doubles(HISTORY_SUMS)}
+FROM grid g JOIN history USING (player_id, week_start)
+""")
+def injury_history(t):
+    return bigints(family_query(t, features.injury_history(t.injuries)).drop("competition_id"))
+
+
+LEGACY_ROWS = """
+SELECT player_id, week_start,
+  sum(m) OVER w2 AS minutes_2w, sum(m) OVER w4 AS minutes_4w, sum(m) OVER w8 AS minutes_8w, m AS minutes_1w,
+  n AS matches_1w, sum(n) OVER w2 AS matches_2w, sum(n) OVER w4 AS matches_4w
+FROM (SELECT player_id, date_trunc('week', game_date)::DATE AS week_start, sum(coalesce(minutes_played, 0)) AS m, count(*) AS n
+  FROM appearances a JOIN games g ON a.game_id = g.game_id GROUP BY 1, 2)
+WINDOW w2 AS (PARTITION BY player_id ORDER BY week_start ROWS 1 PRECEDING),
+  w4 AS (PARTITION BY player_id ORDER BY week_start ROWS 3 PRECEDING),
+  w8 AS (PARTITION BY player_id ORDER BY week_start ROWS 7 PRECEDING)
+"""
+
+
+@query("W15_legacy_row_windows", f"""
+SELECT player_id, week_start, {doubles(["minutes_1w", "minutes_2w", "minutes_4w", "minutes_8w"])},
+  matches_1w::BIGINT AS matches_1w, matches_2w::BIGINT AS matches_2w, matches_4w::BIGINT AS matches_4w,
+  round(minutes_1w / (minutes_4w + 0.000001), 6) AS acwr_minutes, (minutes_1w - minutes_4w / 4)::DOUBLE AS minutes_trend_4w,
+  matches_2w::BIGINT AS congestion_2w
+FROM ({LEGACY_ROWS})
+""")
+def legacy_row_windows(t):
+    out = features.row_window_features(grid.sparse_grid(t.games, t.appearances))
+    return rounded(out.drop("minutes_week", "matches_week"), "acwr_minutes")
+
+
+@query("W17_first_row_per_key", """
+SELECT player_id, injury_start, injury_end, days_out FROM (
+  SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY days_out DESC NULLS LAST, injury_end DESC NULLS LAST,
+    injury_start DESC) AS rn FROM injuries) WHERE rn = 1
+""")
+def first_row_per_key(t):
+    slim = t.injuries.select(KEY, "injury_start", "injury_end", "days_out")
+    return cleaning.best_row(slim, [KEY], [F.col("days_out"), F.col("injury_end"), F.col("injury_start")])
+
+
+@query("W18_quantile_bins", """
+SELECT decile::BIGINT AS decile, min(o_totalprice) AS lo, max(o_totalprice) AS hi, count(*)::BIGINT AS n FROM (
+  SELECT o_totalprice, greatest(len(list_filter(edges, lambda e: e < o_totalprice)) - 1, 0) AS decile
+  FROM orders, (SELECT list_distinct(quantile_cont(o_totalprice, [0,.1,.2,.3,.4,.5,.6,.7,.8,.9,1])) AS edges FROM orders))
+GROUP BY 1
+""")
+def quantile_bins(t):
+    binned = features.quantile_bins(t.raw("orders").select("o_totalprice"), "o_totalprice")
+    return bigints(
+        binned.groupBy("decile").agg(
+            F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"), F.count(F.lit(1)).alias("n")
+        )
+    )
+
+
+# --- labels -------------------------------------------------------------------------------------------
+
+
+@query("L1_label_known", """
+SELECT c_custkey AS player_id, CASE WHEN c_custkey IN (SELECT player_id FROM universe) THEN 1 ELSE 0 END::BIGINT AS label_known
+FROM customer
+""")
+def label_known(t):
+    return bigints(labels.add_label_known(t.players.select(KEY), t.injuries, t.profiles))
+
+
+@query("L2_L3_target_and_ineligible", """
+SELECT g.player_id, g.week_start, g.season::BIGINT AS season, target::BIGINT AS target, ineligible::BIGINT AS ineligible
+FROM grid g JOIN labels_view USING (player_id, week_start)
+""")
+def target_and_ineligible(t):
+    return bigints(family_query(t, features.injury_labels(t.injuries)).drop("competition_id"))
+
+
+@query("L4_L5_structural_flags", """
+SELECT player_id, week_start, season::BIGINT AS season, not_censored::BIGINT AS not_censored,
+  active_player::BIGINT AS active_player
+FROM flags
+""")
+def structural_flags(t):
+    out = labels.add_structural_flags(cohort(t), t.injuries, t.appearances, t.games)
+    return bigints(out.drop("competition_id"))
+
+
+@query("L6_legacy_labels", """
+SELECT player_id, week_start, max(CASE WHEN days_out >= 7 AND s > week_start AND s <= week_start + 30 THEN 1 ELSE 0 END)::BIGINT AS target
+FROM (SELECT DISTINCT player_id, date_trunc('week', date)::DATE AS week_start FROM appearances)
+LEFT JOIN (SELECT player_id, injury_start AS s, injury_end AS e, days_out FROM raw_injuries
+  WHERE injury_start IS NOT NULL AND injury_end IS NOT NULL AND days_out >= 0) USING (player_id)
+GROUP BY 1, 2 HAVING NOT coalesce(bool_or(s <= week_start AND e >= week_start), false)
+""")
+def legacy_labels(t):
+    weeks = grid.sparse_grid(t.games, t.appearances).select(KEY, WEEK)
+    return bigints(labels.legacy_labels(weeks, legacy_intervals(t)))
+
+
+@query("L7_positive_pairs", """
+SELECT count(*)::BIGINT AS positive_pairs FROM grid g JOIN injuries i
+ON i.player_id = g.player_id AND injury_start > week_start AND injury_start <= week_start + 30
+""")
+def positive_pairs(t):
+    return labels.positive_pairs(cohort(t), t.injuries)
+
+
+# --- single-purpose temporal joins --------------------------------------------------------------------
+
+SPARSE = "(SELECT DISTINCT player_id, date_trunc('week', date)::DATE AS week_start FROM appearances)"
+
+
+def sparse_probes(t):
+    return grid.sparse_grid(t.games, t.appearances).select(KEY, WEEK)
+
+
+@query("J6_as_of_join", f"""
+SELECT p.player_id, p.week_start, coalesce(v.value, -1) AS value
+FROM {SPARSE} p ASOF LEFT JOIN daily_value v ON p.player_id = v.player_id AND p.week_start >= v.date
+""")
+def as_of_join(t):
+    out = temporal.as_of_value(
+        t.market_values, sparse_probes(t), KEY, "date", WEEK, "value", "value", tiebreak="row_order"
+    )
+    return out.withColumn("value", F.coalesce("value", F.lit(-1.0)))
+
+
+@query("J7_lagged_as_of_join", f"""
+SELECT p.player_id, p.week_start, coalesce(v.value, -1) AS value
+FROM (SELECT *, week_start - 180 AS lagged FROM {SPARSE}) p ASOF LEFT JOIN daily_value v
+  ON p.player_id = v.player_id AND p.lagged >= v.date
+""")
+def lagged_as_of_join(t):
+    out = temporal.as_of_value(
+        t.market_values, sparse_probes(t), KEY, "date", WEEK, "value", "value", lag=180, tiebreak="row_order"
+    )
+    return out.withColumn("value", F.coalesce("value", F.lit(-1.0)))
+
+
+@query("J8_forward_horizon", f"""
+SELECT player_id, week_start, CASE WHEN EXISTS (SELECT 1 FROM injuries i WHERE i.player_id = p.player_id
+  AND injury_start > week_start AND injury_start <= week_start + 14) THEN 1 ELSE 0 END::BIGINT AS soon
+FROM {SPARSE} p
+""")
+def forward_horizon(t):
+    return bigints(temporal.horizon_flag(t.injuries, sparse_probes(t), KEY, "injury_start", WEEK, "soon", 14))
+
+
+@query("J9_point_in_interval", f"""
+SELECT player_id, week_start, CASE WHEN EXISTS (SELECT 1 FROM injuries i WHERE i.player_id = p.player_id
+  AND injury_start <= week_start AND injury_end >= week_start) THEN 1 ELSE 0 END::BIGINT AS inside
+FROM {SPARSE} p
+""")
+def point_in_interval(t):
+    return bigints(
+        temporal.inside_flag(t.injuries, sparse_probes(t), KEY, "injury_start", "injury_end", WEEK, "inside")
+    )
+
+
+@query("J10_band_join", f"""
+SELECT p.player_id, p.week_start, coalesce(sum(minutes_played), 0)::DOUBLE AS minutes
+FROM {SPARSE} p LEFT JOIN appearances a ON a.player_id = p.player_id AND date >= week_start - 21 AND date < week_start
+GROUP BY 1, 2
+""")
+def band_join(t):
+    return temporal.band_sum(t.appearances, sparse_probes(t), KEY, "date", WEEK, "minutes_played", "minutes", 21)
+
+
+# --- the whole panel ----------------------------------------------------------------------------------
+
+PANEL_TEXT = ["competition_id", "position"]
+PANEL_DATES = ["week_start", "date_of_birth"]
+PANEL_ROUNDED = ["acwr", "away_match_share_28d", "log_market_value", "market_value_trend", "age"]
+PANEL_INTS = [
+    "player_id", "season", "active_player", "days_since_last_played", "days_since_transfer", "target", "ineligible",
+    *HISTORY_COUNTS, "label_known", "not_censored",
+]
+PANEL_DOUBLES = [
+    "minutes_last_1w", "minutes_last_2w", "minutes_last_4w", "minutes_last_8w", *CONGESTION, *TRAVEL, "market_value",
+    "market_value_6m", *HISTORY_SUMS, "height",
+]
+
+
+@query("C1_panel_build", f"""
+SELECT {", ".join(PANEL_TEXT + PANEL_DATES)}, {", ".join(f"round({c}, 6) AS {c}" for c in PANEL_ROUNDED)},
+  {", ".join(f"{c}::BIGINT AS {c}" for c in PANEL_INTS)}, {doubles(PANEL_DOUBLES)}
+FROM panel
+""")
+def panel_build(t):
+    return rounded(bigints(panel(t)), *PANEL_ROUNDED)
