@@ -14,7 +14,7 @@ from .cleaning import drop_placeholder_dates
 from .grid import appearance_facts  # noqa: F401  (part of this module's surface)
 from .temporal import (
     DAY, Feature, ahead, as_of, at_least_zero, at_probes, before, covers_probe, daily, days_since, flag, or_zero,
-    or_zero_count, prior,
+    or_zero_count, prior, total,
 )
 
 KEY = "player_id"
@@ -46,7 +46,7 @@ def workload(facts: DataFrame) -> Family:
         "wl_played", F.when(F.col("wl_minutes") > 0, 1)
     )
     rest = days_since(S.NEVER)
-    features = [Feature(n, "sum", "wl_minutes", prior(w), or_zero) for n, w in MINUTE_WINDOWS.items()]
+    features = [Feature(n, "sum", "wl_minutes", prior(w), total) for n, w in MINUTE_WINDOWS.items()]
     features.append(
         Feature(
             "days_since_last_played", "day", "wl_played", before(),
@@ -60,9 +60,9 @@ def congestion(facts: DataFrame) -> Family:
     """Match density, peak load, away load and cards by appearance date."""
     minutes = measure("minutes_played")
     measures = {"cg_matches": F.count(F.lit(1)).cast("double"), "cg_minutes": F.sum(minutes)}
-    features = [Feature(n, "sum", "cg_matches", prior(w), or_zero) for n, w in MATCH_WINDOWS.items()]
+    features = [Feature(n, "sum", "cg_matches", prior(w), total) for n, w in MATCH_WINDOWS.items()]
     features += [
-        Feature("minutes_last_10d", "sum", "cg_minutes", prior(10), or_zero),
+        Feature("minutes_last_10d", "sum", "cg_minutes", prior(10), total),
         Feature("max_minutes_14d", "max", "cg_minutes", prior(14), at_least_zero),
     ]
     derived = {}
@@ -70,14 +70,14 @@ def congestion(facts: DataFrame) -> Family:
         away = F.coalesce((F.col("player_club_id") == F.col("away_club_id")).cast("double"), F.lit(0.0))
         measures |= {"cg_away": F.sum(away), "cg_away_minutes": F.sum(minutes * away)}
         features += [
-            Feature("away_matches_last_28d", "sum", "cg_away", prior(28), or_zero),
-            Feature("away_minutes_last_28d", "sum", "cg_away_minutes", prior(28), or_zero),
+            Feature("away_matches_last_28d", "sum", "cg_away", prior(28), total),
+            Feature("away_minutes_last_28d", "sum", "cg_away_minutes", prior(28), total),
         ]
         derived["away_match_share_28d"] = F.col("away_matches_last_28d") / (F.col("matches_last_28d") + 1e-6)
     for colour, days in (("yellow", 28), ("red", 56)):
         if f"{colour}_cards" in facts.columns:
             measures[f"cg_{colour}"] = F.sum(measure(f"{colour}_cards"))
-            features.append(Feature(f"{colour}_cards_last_{days}d", "sum", f"cg_{colour}", prior(days), or_zero))
+            features.append(Feature(f"{colour}_cards_last_{days}d", "sum", f"cg_{colour}", prior(days), total))
     return Family([daily(facts, KEY, "date", **measures)], features, derived)
 
 
@@ -98,9 +98,10 @@ def value_context(values: DataFrame | None, tiebreak: str | None = None) -> Fami
     if values is None:
         return Family([], [], {}, {"log_market_value": F.lit(0.0), "market_value_trend": F.lit(0.0)})
     now, past = F.col("market_value"), F.col("market_value_6m")
-    # A missing value is carried as "dated but unknown", as the latest row decides even when it is empty.
-    facts = daily(values, KEY, "date", mv_value=F.max_by(F.struct("value"), F.col(tiebreak or "value")))
-    read = lambda value, day: F.coalesce(value.getField("value"), F.lit(0.0))
+    # The latest row decides even when its value is missing, so a missing value travels as NaN.
+    known = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
+    facts = daily(values, KEY, "date", mv_value=F.max_by(known, F.col(tiebreak or "value")))
+    read = lambda value, day: F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
     features = [
         Feature("market_value", "last", "mv_value", as_of(), read),
         Feature("market_value_6m", "last", "mv_value", as_of(VALUE_LAG_DAYS), read),
@@ -130,7 +131,7 @@ def _history_features(windows: Sequence[int]) -> list[Feature]:
     features = []
     for w in windows:
         features.append(Feature(f"injuries_last_{w}d", "sum", "in_count", prior(w), or_zero_count))
-        features.append(Feature(f"days_out_last_{w}d", "sum", "in_days", prior(w), or_zero))
+        features.append(Feature(f"days_out_last_{w}d", "sum", "in_days", prior(w), total))
     return features + [
         Feature("days_since_last_injury_start", "day", "in_count", before(), days_since(S.NEVER)),
         Feature("days_since_last_injury_end", "day", "en_any", before(), days_since(S.NEVER)),

@@ -1,9 +1,14 @@
 """Point-in-time features: dated facts read at probe dates in one shuffle and one sort.
 
-Facts are first reduced to one row per (entity, day), so a window partition never holds more rows than
-there are days and probe dates, however many raw rows a single entity has. Facts of every family are then
-unioned with the probes, and all features become window frames over the same (entity, day) order: one
-exchange, one sort and one window operator, whatever the number of features.
+Facts are first reduced to one row per (entity, day), so a window partition never holds more rows than a
+small multiple of the days there are, however many raw rows a single entity has. Facts of every family are
+then unioned with the probes and shuffled once by entity.
+
+Behind that shuffle the windows are swept rather than re-read: a fact enters a window on one day and leaves
+it on another, so it is repeated (locally) at those moments with +m and -m, and a window sum is a running
+total. All features then share one order and one ``ROWS UNBOUNDED PRECEDING .. CURRENT ROW`` frame, whose
+cost per row depends neither on the length nor on the number of windows. Only bounded maxima and minima,
+which cannot be undone, keep a frame of their own over the same order.
 
 Boundary conventions (t = probe date), each stated once here:
 
@@ -24,26 +29,50 @@ from pyspark.sql import functions as F
 from ..functions.scalars import day_number
 
 DAY = "_day"
-PROBE = "_probe"
-START = Window.unboundedPreceding
+FAMILY = "_family"
+MOVE = "_move"
+MOMENT = "_moment"
+PROBE_ROW = "_is_probe"
+OPEN = None
+
+# A day is cut into four moments, so that facts sort before or after the probe of the same day.
+MOMENTS = 4
+EARLY, PROBE, LATE = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Frame:
-    low: int
+    """Days relative to the probe, both ends included; ``low`` is OPEN for "since ever"."""
+
+    low: int | None
     high: int
 
+    @property
+    def enter(self) -> int:
+        """Moment, relative to a fact's day, from which probes see the fact."""
+        return self._moment(-self.high)
+
+    @property
+    def leave(self) -> int | None:
+        """Moment from which they no longer do."""
+        return None if self.low is OPEN else self._moment(-self.low + 1)
+
+    @staticmethod
+    def _moment(first_day: int) -> int:
+        # Seen from probes of day ``first_day`` on: sorted before those probes.
+        return first_day * MOMENTS + EARLY
+
 
 def prior(days: int) -> Frame:
     return Frame(-days, -1)
 
 
 def before() -> Frame:
-    return Frame(START, -1)
+    return Frame(OPEN, -1)
 
 
 def as_of(lag: int = 0) -> Frame:
-    return Frame(START, -lag)
+    return Frame(OPEN, -lag)
 
 
 def ahead(days: int) -> Frame:
@@ -54,8 +83,8 @@ def ahead(days: int) -> Frame:
 class Feature:
     """``name`` = aggregate of ``measure`` over ``frame``; ``finish`` maps the raw value to the output.
 
-    ``agg`` is one of sum, max, min, count, last (latest non-null by day) or ``day`` (latest day on which
-    the measure is non-null). ``finish`` gets the aggregate and the probe's day number.
+    ``agg`` is one of sum, max, min, last (latest non-null by day) or ``day`` (latest day on which the
+    measure is non-null). ``finish`` gets the aggregate and the probe's day number.
     """
 
     name: str
@@ -75,13 +104,59 @@ def daily(df: DataFrame, key: str, day: str | Column, **measures: Column) -> Dat
     return keyed.groupBy(key, DAY).agg(*[expr.alias(name) for name, expr in measures.items()])
 
 
-def _aggregate(feature: Feature) -> Column:
-    measure = F.col(feature.measure)
-    if feature.agg == "last":
-        return F.last(measure, ignorenulls=True)
-    if feature.agg == "day":
-        return F.max(F.when(measure.isNotNull(), F.col(DAY)))
-    return {"sum": F.sum, "max": F.max, "min": F.min, "count": F.count}[feature.agg](measure)
+def _swept(feature: Feature) -> bool:
+    """Whether the running frame serves the feature: open frames always, bounded ones when undoable."""
+    return feature.frame.low is OPEN or feature.agg == "sum"
+
+
+def _moves(features: Sequence[Feature]) -> list[int]:
+    moves = {f.frame.enter for f in features}
+    moves |= {f.frame.leave for f in features if _swept(f) and f.frame.leave is not None}
+    return sorted(moves)
+
+
+def _read(feature: Feature, contribution: Column, order) -> Column:
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    if _swept(feature):
+        if feature.agg == "last":
+            return F.last(contribution, ignorenulls=True).over(running)
+        return {"sum": F.sum, "max": F.max, "min": F.min, "day": F.max}[feature.agg](contribution).over(running)
+    # Entered at day - high, so a frame of (high - low) days back from the probe holds exactly its facts.
+    span = (feature.frame.high - feature.frame.low) * MOMENTS + PROBE
+    bounded = order.rangeBetween(-span, 0)
+    return {"max": F.max, "min": F.min, "day": F.max}[feature.agg](contribution).over(bounded)
+
+
+NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+
+
+@dataclass(frozen=True)
+class _Slot:
+    """Where a measure travels: families share columns, as each fact row belongs to one family."""
+
+    column: str
+    family: int
+    dtype: str
+
+
+def _into_slots(
+    facts: Sequence[DataFrame], key: str, used: set[str]
+) -> tuple[list[DataFrame], dict[str, _Slot]]:
+    slots: dict[str, _Slot] = {}
+    slotted = []
+    for i, family in enumerate(facts):
+        taken: dict[str, int] = {}
+        columns = []
+        for name, dtype in family.dtypes:
+            if name in (key, DAY) or name not in used:
+                continue
+            pool = "double" if dtype in NUMERIC else dtype
+            n = taken[pool] = taken.get(pool, -1) + 1
+            slot = _Slot(f"_s{n}_{''.join(c for c in pool if c.isalnum())}", i, dtype)
+            slots[name] = slot
+            columns.append(F.col(name).cast(pool).alias(slot.column))
+        slotted.append(family.select(key, DAY, F.lit(i).alias(FAMILY), *columns))
+    return slotted, slots
 
 
 def at_probes(
@@ -91,26 +166,68 @@ def at_probes(
     facts: Sequence[DataFrame],
     features: Sequence[Feature],
 ) -> DataFrame:
-    """Every probe row with its features added. ``facts`` come from :func:`daily`."""
+    """Every probe row with its features added. ``facts`` come from :func:`daily`; measure names are unique."""
     columns = probes.columns
-    stacked = probes.withColumn(DAY, day_number(date)).withColumn(PROBE, F.lit(True))
-    for family in facts:
+    families, slots = _into_slots(facts, key, {f.measure for f in features})
+    stacked = probes.withColumn(DAY, day_number(date)).withColumn(FAMILY, F.lit(None).cast("int"))
+    for family in families:
         stacked = stacked.unionByName(family, allowMissingColumns=True)
 
-    order = Window.partitionBy(key).orderBy(DAY)
-    raw = [
-        _aggregate(f).over(order.rangeBetween(f.frame.low, f.frame.high)).alias(f"_raw_{i}")
-        for i, f in enumerate(features)
-    ]
-    windowed = stacked.select(*columns, DAY, PROBE, *raw).filter(F.col(PROBE))
-    finished = [f.finish(F.col(f"_raw_{i}"), F.col(DAY)).alias(f.name) for i, f in enumerate(features)]
-    return windowed.select(*columns, *finished)
+    # Every (family, move) has a small code. Codes keep the generated projection short enough for the JIT.
+    per_family = [_moves([f for f in features if slots[f.measure].family == i]) for i in range(len(facts))]
+    codes = {(i, m): n + 1 for n, (i, m) in enumerate((i, m) for i, ms in enumerate(per_family) for m in ms)}
+
+    def literal(pairs: list[tuple[int, int]]) -> Column:
+        return F.array(*[F.struct(F.lit(code).alias("code"), F.lit(move).alias("move")) for code, move in pairs])
+
+    moves = F.when(F.col(FAMILY).isNull(), literal([(0, PROBE)]))
+    for i, ms in enumerate(per_family):
+        if ms:
+            moves = moves.when(F.col(FAMILY) == i, literal([(codes[i, m], m) for m in ms]))
+    # The one exchange carries compact daily rows; they are repeated only behind it.
+    swept = stacked.repartition(F.col(key)).withColumn(MOVE, F.explode(moves))
+    code = F.col(f"{MOVE}.code")
+
+    def contribution(feature: Feature) -> Column:
+        slot = slots[feature.measure]
+        measure = F.col(slot.column)
+        if feature.agg == "day":
+            measure = F.when(measure.isNotNull(), F.col(DAY))
+        value = F.when(code == codes[slot.family, feature.frame.enter], measure)
+        if _swept(feature) and feature.frame.leave is not None:
+            value = value.when(code == codes[slot.family, feature.frame.leave], -measure)
+        return value
+
+    placed = swept.select(
+        *columns, DAY, (code == 0).alias(PROBE_ROW), (F.col(DAY) * MOMENTS + F.col(f"{MOVE}.move")).alias(MOMENT),
+        *[contribution(f).alias(f"_c{i}") for i, f in enumerate(features)],
+    )
+    order = Window.partitionBy(key).orderBy(MOMENT)
+    raw = [_read(f, F.col(f"_c{i}"), order).alias(f"_r{i}") for i, f in enumerate(features)]
+    windowed = placed.select(*columns, DAY, PROBE_ROW, *raw).filter(F.col(PROBE_ROW))
+
+    def finished(i: int, feature: Feature) -> Column:
+        value = F.col(f"_r{i}")
+        if feature.agg in ("last", "max", "min"):
+            value = value.cast(slots[feature.measure].dtype)
+        return feature.finish(value, F.col(DAY)).alias(feature.name)
+
+    return windowed.select(*columns, *[finished(i, f) for i, f in enumerate(features)])
+
+
+def snapped(value: Column) -> Column:
+    """Running totals of fractions leave residues near 1e-12; keep six decimals (whole numbers are exact)."""
+    return F.when(F.abs(value) < 1e9, F.rint(value * 1e6) / 1e6).otherwise(value)
 
 
 def or_zero(value: Column, day: Column) -> Column:
     return F.coalesce(value, F.lit(0.0))
 
 
+def total(value: Column, day: Column) -> Column:
+    return F.coalesce(snapped(value), F.lit(0.0))
+
+
 def or_zero_count(value: Column, day: Column) -> Column:
     return F.coalesce(value, F.lit(0)).cast("int")
 
@@ -141,7 +258,7 @@ def prior_sums(
 ) -> DataFrame:
     """Sum of ``measure`` in [t-w, t) for each named window."""
     facts = daily(events, key, event_date, _m=F.sum(F.coalesce(F.col(measure), F.lit(0.0))))
-    features = [Feature(name, "sum", "_m", prior(days), or_zero) for name, days in windows.items()]
+    features = [Feature(name, "sum", "_m", prior(days), total) for name, days in windows.items()]
     return at_probes(probes, key, probe_date, [facts], features)
 
 
