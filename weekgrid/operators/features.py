@@ -12,6 +12,7 @@ from .. import schemas as S
 from ..functions.scalars import clip, day_number, measure
 from .cleaning import drop_placeholder_dates
 from .grid import appearance_facts  # noqa: F401  (part of this module's surface)
+from .ranking import exact_quantiles
 from .temporal import (
     DAY, Feature, ahead, as_of, at_least_zero, at_probes, before, covers_probe, daily, days_since, flag, or_zero,
     or_zero_count, prior, total,
@@ -281,10 +282,9 @@ def quantile_bins(df: DataFrame, column: str, q: int = 10, out: str = "decile")
 
     The edges are one row of at most q + 1 numbers.
     """
-    points = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    # Exact percentiles over (value, count) pairs: repeated values are merged before the final step.
-    counted = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    edges = counted.agg(F.array_distinct(F.percentile(F.col(column), points, F.col("_n"))).alias("_edges"))
+    edges = exact_quantiles(df, [column], [i / q for i in range(q + 1)]).agg(
+        F.array_sort(F.collect_set("value")).alias("_edges")
+    )
     below = F.size(F.filter("_edges", lambda e: e < F.col(column)))
     return (
         df.filter(F.col(column).isNotNull())
