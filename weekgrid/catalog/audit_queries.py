@@ -456,8 +456,7 @@ WHERE_SQL = f"""week_start BETWEEN DATE '{VALID_FROM}' AND DATE '2000-12-31' AND
 
 @query("X1_filtered_preview", f"SELECT player_id, week_start, target::BIGINT AS target FROM panel WHERE {WHERE_SQL}")
 def filtered_preview(t):
-    # The limit is above the table's size here: the preview is compared whole.
-    return bigints(explore.preview(panel(t), WHERE, [KEY, WEEK, "target"], limit=2_000_000_000))
+    return bigints(explore.preview(panel(t), WHERE, [KEY, WEEK, "target"], limit=None))
 
 
 @query("X2_filtered_count", f"""

@@ -30,8 +30,11 @@ class PanelFilter:
         return all_of(parts)
 
 
-def preview(panel: DataFrame, where: PanelFilter, columns: list[str] | None = None, limit: int = 1000) -> DataFrame:
-    return panel.filter(where.condition()).select(*(columns or panel.columns)).limit(limit)
+def preview(
+    panel: DataFrame, where: PanelFilter, columns: list[str] | None = None, limit: int | None = 1000
+) -> DataFrame:
+    rows = panel.filter(where.condition()).select(*(columns or panel.columns))
+    return rows if limit is None else rows.limit(limit)
 
 
 def count_rows(panel: DataFrame, where: PanelFilter) -> DataFrame:

@@ -184,6 +184,20 @@ def top_share(
     )
 
 
+def expected_top_share(counts: DataFrame, share: float = 0.05, by: Sequence[str] = ()) -> DataFrame:
+    """Precision among the top ``share``, rows tied at the boundary counted in proportion.
+
+    Needs the score counts only, which is what resampling keeps per replicate.
+    """
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("rows"), F.sum("pos").alias("positives"))
+    placed = running_totals(counts, "score", ["n", "pos"], by, descending=True)
+    ranked = placed.join(totals, list(by)) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    k = F.greatest(F.lit(1), F.floor(F.col("rows") * share))
+    taken = F.greatest(F.lit(0), F.least(F.col("n"), k - F.col("cum_n") + F.col("n")))
+    hits = F.sum(taken * F.col("pos") / F.col("n"))
+    return ranked.groupBy(*by, "rows", "positives").agg((hits / F.max(k)).alias("precision_top"))
+
+
 def evaluation(df: DataFrame, label: str, score: str, tiebreak: str, share: float = 0.05) -> DataFrame:
     """One row with every ranking metric of a scored table."""
     curve = curve_metrics(score_counts(df, label, score))
