@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["panel_queries", "audit_queries", "model_queries"]
+MODULES = ["panel_queries", "audit_queries", "model_queries", "operator_queries"]
 
 
 def load_all():
