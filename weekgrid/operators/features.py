@@ -101,7 +101,7 @@ def value_context(values: DataFrame | None, tiebreak: str | None = None) -> Fami
     now, past = F.col("market_value"), F.col("market_value_6m")
     # The latest row decides even when its value is missing, so a missing value travels as NaN.
     known = F.coalesce(F.col("value").cast("double"), F.lit(float("nan")))
-    facts = daily(values, KEY, "date", mv_value=F.max_by(known, F.col(tiebreak or "value")))
+    facts = daily(values, KEY, "date", mv_value=F.max_by(known, F.struct(tiebreak or "value")))
     read = lambda value, day: F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
     features = [
         Feature("market_value", "last", "mv_value", as_of(), read),

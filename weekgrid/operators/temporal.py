@@ -267,9 +267,11 @@ def as_of_value(
     lag: int = 0, tiebreak: str | None = None,
 ) -> DataFrame:
     """Latest ``value`` dated on or before t - lag; several values on one day resolve by ``tiebreak``."""
-    best = F.max_by(F.col(value), F.col(tiebreak or value))
+    # Wrapped in structs: the latest row decides even when its value or its tiebreak is missing.
+    best = F.max_by(F.struct(F.col(value).alias("value")), F.struct(tiebreak or value))
     family = daily(facts, key, fact_date, _v=best)
-    return at_probes(probes, key, probe_date, [family], [Feature(out, "last", "_v", as_of(lag))])
+    read = Feature(out, "last", "_v", as_of(lag), lambda found, day: found.getField("value"))
+    return at_probes(probes, key, probe_date, [family], [read])
 
 
 def horizon_flag(

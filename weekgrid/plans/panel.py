@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.scalars import measure
 from ..operators import audits, cleaning, features, grid, labels
 from ..operators.features import KEY, WEEK
 from ..sources.sinks import StageStore, write_manifest, write_panel, write_tables
@@ -26,24 +25,6 @@ class PanelInputs:
     value_tiebreak: str | None = None
 
 
-def daily_appearances(facts: DataFrame) -> DataFrame:
-    """Appearances summed per player, day, season and club pair: what every later step reads.
-
-    Much narrower than the joined appearances and free of hot players (bounded by days), so it is the table
-    worth keeping between steps.
-    """
-    keys = [KEY, "game_date", "date", "season", "player_club_id", "player_current_club_id", "away_club_id"]
-    return (
-        facts.filter(F.col(KEY).isNotNull())
-        .groupBy(*[k for k in keys if k in facts.columns])
-        .agg(
-            F.sum(measure("minutes_played")).alias("minutes_played"),
-            F.count(F.lit(1)).alias("matches"),
-            *[F.sum(measure(c)).alias(c) for c in ("yellow_cards", "red_cards") if c in facts.columns],
-        )
-    )
-
-
 def build_panel(inputs: PanelInputs, warmup: str = "documented", stages: StageStore | None = None) -> DataFrame:
     """All panel columns.
 
