@@ -9,6 +9,7 @@ from ..operators import audits, cleaning, explore, features, joins, profile, sam
 from ..operators.features import KEY, WEEK
 from .panel_queries import VALID_FROM, bigints, cohort, facts, panel, rounded, target_games
 from .registry import query
+from ..session import stored
 
 
 def metrics_sql(check: str, source: str, metrics: dict[str, str], passed: str) -> str:
@@ -132,7 +133,8 @@ FROM (SELECT b.player_id, b.week_start, min(injury_start) - b.week_start AS d
 """, {"checked": "checked", "errors": "checked - matched", "delta_min": "lo", "delta_max": "hi", "delta_mean": "mean"},
     "checked = matched"))
 def label_validity(t):
-    return rounded(audits.label_validity(panel(t), t.injuries), "value")
+    labelled = stored(panel(t).select(KEY, WEEK, "target"))
+    return rounded(audits.label_validity(labelled, t.injuries), "value")
 
 
 @query("Q4_ineligible_correctness", metrics_sql("ineligible_correctness", """
@@ -141,7 +143,7 @@ SELECT count(*) AS checked, count(*) FILTER (NOT EXISTS (SELECT 1 FROM injuries
 FROM grid g JOIN labels_view USING (player_id, week_start) WHERE ineligible = 1
 """, {"checked": "checked", "errors": "errors"}, "errors = 0"))
 def ineligible_correctness(t):
-    return audits.ineligible_correctness(panel(t), t.injuries)
+    return audits.ineligible_correctness(stored(panel(t).select(KEY, WEEK, "ineligible")), t.injuries)
 
 
 @query("Q5_rolling_recompute", metrics_sql("rolling_recompute", """
@@ -226,7 +228,8 @@ UNION ALL SELECT * FROM (SELECT 'high_load_negatives' AS kind, * FROM
 """)
 def report_samples(t):
     out = None
-    for kind, rows in audits.quality_samples(panel(t)).items():
+    slim = stored(panel(t).select(KEY, WEEK, "season", "target", "ineligible", "minutes_last_4w"))
+    for kind, rows in audits.quality_samples(slim).items():
         part = bigints(rows.select(F.lit(kind).alias("kind"), KEY, WEEK, "season"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -377,9 +380,9 @@ def catalog_sql(table: str, columns: list[str]) -> str:
     ("minutes_last_4w", True), ("injuries_last_365d", True), ("days_since_transfer", False), ("height", False),
 ]))
 def feature_catalog(t):
-    slim = panel(t).select(
+    slim = stored(panel(t).select(
         KEY, WEEK, "season", "target", "minutes_last_4w", "injuries_last_365d", "days_since_transfer", "height"
-    )
+    ))
     table = profile.feature_catalog(slim, ["minutes_last_4w", "injuries_last_365d"]).drop("dtype")
     return rounded(bigints(table), "missing_pct", "mean", "std", "p05", "p50", "p95")
 
@@ -420,7 +423,8 @@ FROM (
 GROUP BY 1
 """)
 def prevalence_by_load(t):
-    return rounded(bigints(profile.prevalence_by_load(cleaning.known_eligible_rows(panel(t)))), "rate_pct")
+    rows = stored(cleaning.known_eligible_rows(panel(t)).select("minutes_last_4w", "target"))
+    return rounded(bigints(profile.prevalence_by_load(rows)), "rate_pct")
 
 
 @query("D14_minutes_histogram", """
@@ -464,7 +468,7 @@ SELECT 'filtered' AS kind, count(*)::BIGINT AS n FROM panel WHERE {WHERE_SQL}
 UNION ALL SELECT 'strict', count(*)::BIGINT FROM strict_panel
 """)
 def filtered_count(t):
-    p = panel(t)
+    p = stored(panel(t).select(WEEK, "competition_id", *explore.FLAGS))
     strict = explore.PanelFilter(flags={"ineligible": 0, "not_censored": 1, "active_player": 1, "label_known": 1})
     return explore.count_rows(p, WHERE).select(F.lit("filtered").alias("kind"), "n").unionByName(
         explore.count_rows(p, strict).select(F.lit("strict").alias("kind"), "n")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, grid, features, ranking, risk
 from ..operators.features import KEY, WEEK
 from ..operators.risk import Settings
-from ..session import checkpointed
+from ..session import stored
 from .panel_queries import TEST_FROM, VALID_FROM, bigints, panel, rounded
 from .registry import query
 
@@ -25,7 +25,7 @@ FROM strict_panel WHERE week_start >= DATE '{TEST_FROM}'
 def scored(t):
     rows = cleaning.with_split(cleaning.strict_rows(panel(t)), VALID_FROM, TEST_FROM).filter(F.col("split") == "test")
     load = F.col("minutes_last_4w") + 20 * F.col("injuries_last_365d")
-    return checkpointed(rows.select(
+    return stored(rows.select(
         KEY, WEEK, "season", "target", (F.least(load, F.lit(400.0)) / 400).alias("p"), risk.tie_key().alias("tie")
     ))
 
@@ -40,7 +40,7 @@ def written_frame(t):
     """The model frame, written once to the shared folder for the passes that read it."""
     split = frame(t)
     names = cleaning.feature_columns(split)
-    return checkpointed(split.select(*risk.ROW_KEY, "target", "split", *[F.col(f"`{c}`") for c in names])), names
+    return stored(split.select(*risk.ROW_KEY, "target", "split", *[F.col(f"`{c}`") for c in names])), names
 
 
 @query("M1_class_weights", """

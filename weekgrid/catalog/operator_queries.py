@@ -11,7 +11,7 @@ from ..functions import scalars
 from ..operators import cleaning, grid, joins, matching, profile, sampling
 from ..operators.features import KEY, WEEK
 from ..plans import jobs
-from ..session import shared_dir
+from ..session import shared_dir, stored
 from ..sources import readers, sinks
 from .panel_queries import SPARSE, bigints, cohort, inputs, panel, rounded, sparse_probes, target_games
 from .registry import query
@@ -472,7 +472,7 @@ def panel_job_manifest(t):
 
 @query("C2_verify_panel")
 def verify_panel(t):
-    return jobs.verify_panel(panel(t), t.appearances, t.competitions, t.injuries, t.profiles)
+    return jobs.verify_panel(stored(panel(t)), t.appearances, t.competitions, t.injuries, t.profiles)
 
 
 @query("C6_raw_profile")
@@ -482,7 +482,7 @@ def raw_profile(t):
 
 @query("C7_panel_slices")
 def panel_slices(t):
-    return jobs.panel_slices(panel(t))
+    return jobs.panel_slices(stored(panel(t)))
 
 
 @query("C8_join_audit", """
@@ -497,7 +497,7 @@ def join_audit(t):
 
 @query("C9_panel_inspection")
 def panel_inspection(t):
-    return jobs.inspect_panel(panel(t).select(KEY, WEEK, "season", "target", "ineligible", "minutes_last_4w", "height"))
+    return jobs.inspect_panel(stored(panel(t).select(KEY, WEEK, "season", "target", "ineligible", "minutes_last_4w", "height")))
 
 
 @query("C10_legacy_pipeline")

@@ -37,7 +37,14 @@ def panel(t):
 
 
 def rounded(df, *columns, digits: int = 6):
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    """Half away from zero, in plain double arithmetic (``round`` goes through decimals, row by row)."""
+    scale = 10.0**digits
+
+    def shorten(c: str):
+        up = F.col(c) * scale
+        return F.when(up >= 0, F.floor(up + 0.5)).otherwise(F.ceil(up - 0.5)).cast("double") / scale
+
+    return df.withColumns({c: shorten(c) for c in columns})
 
 
 def bigints(df):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import measure, monday
@@ -108,6 +108,10 @@ def appearance_grid(games: DataFrame, appearances: DataFrame) -> DataFrame:
 
     When competitions overlap in a week the earliest season, then the least competition id, is kept.
     """
+    # Each (season, competition) gets its place in that order: one row per league season, so ranking them is
+    # small, and the weekly rows then carry and compare one integer.
+    places = Window.orderBy("season", "competition_id")
+    calendar = calendar_bounds(games).withColumn("_place", F.row_number().over(places))
     scope = (
         appearances.select("player_id", "game_id")
         .join(games.select("game_id", "competition_id", "season"), "game_id")
@@ -115,9 +119,11 @@ def appearance_grid(games: DataFrame, appearances: DataFrame) -> DataFrame:
         .select("player_id", "competition_id", "season")
         .distinct()
     )
-    weeks = explode_weeks(scope.join(calendar_bounds(games), ["competition_id", "season"]))
-    picked = weeks.groupBy("player_id", "week_start").agg(F.min(F.struct("season", "competition_id")).alias("_k"))
-    return picked.select("player_id", "week_start", "_k.competition_id", "_k.season")
+    placed = scope.join(calendar, ["competition_id", "season"]).select("player_id", "_place", "min_week", "max_week")
+    picked = explode_weeks(placed).groupBy("player_id", "week_start").agg(F.min("_place").alias("_place"))
+    return picked.join(calendar.select("_place", "competition_id", "season"), "_place").select(
+        "player_id", "week_start", "competition_id", "season"
+    )
 
 
 def players_per_season(games: DataFrame, appearances: DataFrame) -> DataFrame:

@@ -44,7 +44,6 @@ def build_panel(inputs: PanelInputs, warmup: str = "documented", stages: StageSt
         KEY, WEEK, "competition_id", "season",
         F.when(F.col(WEEK).between(F.col("_window_start"), F.col("_window_end")), 1).otherwise(0).alias("active_player"),
     )
-    skeleton = keep("panel_skeleton", lambda: skeleton)
 
     families = [
         features.workload(facts),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # UTC keeps date truncation independent of the machine; AQE supplies runtime broadcast,
 # partition coalescing and skew-join splitting, which the operators rely on instead of hints.
@@ -51,10 +52,12 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df):
-    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage ends at the files.
+
+    For results that several passes read. Unlike a cache it outlives executors, and the copies are pruned and
+    filtered like any table.
+    """
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
