@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import audits, cleaning, explore, features, joins, profile, sampling
+from ..operators import audits, cleaning, explore, joins, profile
 from ..operators.features import KEY, WEEK
-from .panel_queries import VALID_FROM, bigints, cohort, facts, panel, rounded, target_games
+from .panel_queries import VALID_FROM, bigints, cohort, panel, rounded
 from .registry import query
 from ..session import stored
 

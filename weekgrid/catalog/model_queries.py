@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, grid, features, ranking, risk
 from ..operators.features import KEY, WEEK
 from ..operators.risk import Settings
+from ..plans import jobs
 from ..session import stored
 from .panel_queries import TEST_FROM, VALID_FROM, bigints, panel, rounded
 from .registry import query
@@ -182,6 +183,25 @@ def shuffled_labels(t):
     return bigints(risk.shuffled_labels(scored(t), 9).select(*risk.ROW_KEY, "target"))
 
 
+@query("C3_audit_evaluation")
+def audit_evaluation(t):
+    split, names = written_frame(t)
+    parts = jobs.audit_evaluation(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), split, names, t.injuries, QUICK)
+    return parts["label_horizon"].unionByName(parts["history"])
+
+
+@query("C4_train_report")
+def train_report(t):
+    split, names = written_frame(t)
+    return jobs.train_report(split, names, QUICK, replicates=200)["intervals"]
+
+
+@query("C5_quick_evaluation")
+def quick_evaluation(t):
+    split, names = written_frame(t)
+    return jobs.quick_evaluation(split, names, QUICK)["metrics"]
+
+
 LEGACY_FEATURES = ["minutes_1w", "minutes_4w", "matches_1w", "acwr_minutes"]
 
 

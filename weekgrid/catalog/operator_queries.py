@@ -8,12 +8,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cleaning, grid, joins, matching, profile, sampling
+from ..operators import cleaning, explore, grid, joins, matching, profile, sampling
 from ..operators.features import KEY, WEEK
 from ..plans import jobs
 from ..session import shared_dir, stored
 from ..sources import readers, sinks
-from .panel_queries import SPARSE, bigints, cohort, inputs, panel, rounded, sparse_probes, target_games
+from .panel_queries import bigints, cohort, inputs, panel, rounded
 from .registry import query
 
 
@@ -180,7 +180,7 @@ def date_functions(t):
 
 
 @query("F5_F11_F12_number_functions", """
-SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS logged, round(o_totalprice / (o_custkey + 0.000001), 4) AS smoothed,
+SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS logged, round(o_custkey / (o_orderkey + 1 + 0.000001), 6) AS smoothed,
   least(greatest(o_totalprice, 1000), 200000) AS clipped,
   coalesce(try_cast(CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE o_custkey::VARCHAR END AS DOUBLE), 0) AS coerced
 FROM orders
@@ -188,7 +188,7 @@ FROM orders
 def number_functions(t):
     price, key = F.col("o_totalprice"), F.col("o_custkey")
     return t.raw("orders").select(
-        "o_orderkey", F.round(F.log1p(price), 6).alias("logged"), F.round(price / (key + F.lit(0.000001)), 4).alias("smoothed"),
+        "o_orderkey", F.round(F.log1p(price), 6).alias("logged"), F.round(key / (F.col("o_orderkey") + 1 + F.lit(0.000001)), 6).alias("smoothed"),
         scalars.clip(price, 1000.0, 200000.0).alias("clipped"),
         scalars.measure(F.when(F.col("o_orderstatus") == "F", "x").otherwise(key.cast("string"))).alias("coerced"),
     )
@@ -304,11 +304,11 @@ def set_operations(t):
 
 
 @query("T10_groups_by_size", """
-SELECT o_custkey, count(*)::BIGINT AS n, round(avg(o_totalprice), 4) AS mean_price FROM orders GROUP BY 1
+SELECT o_custkey, count(*)::BIGINT AS n, round(avg((o_orderstatus = 'F')::INTEGER), 6) AS prevalence FROM orders GROUP BY 1
 ORDER BY n DESC, o_custkey LIMIT 200
 """)
 def groups_by_size(t):
-    grouped = t.raw("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
+    grouped = t.raw("orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("o_orderstatus") == "F").cast("int")), 6).alias("prevalence"))
     return grouped.orderBy(F.desc("n"), "o_custkey").limit(200)
 
 
@@ -451,6 +451,33 @@ def column_list(t):
     return bigints(sinks.column_types(cohort(t)))
 
 
+@query("R2_standard_columns", "SELECT r_regionkey::BIGINT AS region_key, r_name AS name_en FROM region")
+def standard_columns(t):
+    odd = t.raw("region").select(F.col("r_regionkey").cast("bigint").alias(" Region-Key"), F.col("r_name").alias("Name/EN."))
+    return readers.standardize_columns(odd)
+
+
+@query("X7_bounded_export", "SELECT least(count(*), 20000)::BIGINT AS n FROM grid WHERE competition_id = 'GB1'")
+def bounded_export(t):
+    path = scratch(t)
+    explore.export_rows(cohort(t), explore.PanelFilter(picks={"competition_id": ["GB1"]}), path, 20_000)
+    return readers.read_text_columns(t.spark, path).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("D13_dataset_index", """
+SELECT 'club_data' AS dataset_id, 'Club Data' AS dataset, 2::BIGINT AS tables, 'Injuries, Players' AS key_tables
+""")
+def dataset_index(t):
+    folder = scratch(t)
+    for name in ("injury_history", "players"):
+        source = t.raw_injuries if name == "injury_history" else t.players
+        sinks.write_csv(source.coalesce(1), f"{folder}/Club Data/{name}.csv")
+    found = readers.discover_datasets(t.spark, folder)
+    # Spark writes folders named like files: their name, not the part file's, is the table.
+    named = found.withColumn("table", F.regexp_extract("path", r"/([^/]+)\.csv/[^/]+$", 1))
+    return jobs.dataset_index(named)
+
+
 # --- composite jobs -----------------------------------------------------------------------------------
 
 

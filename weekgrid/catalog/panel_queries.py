@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..functions import scalars
 from ..operators import cleaning, features, grid, labels, temporal
 from ..operators.features import KEY, WEEK
@@ -195,16 +194,6 @@ def last_months_split(t):
     return bigints(cleaning.last_months_split(weeks))
 
 
-FRAME_SQL = """
-SELECT player_id, week_start, season, target, minutes_last_4w, days_since_last_played, injuries_last_365d,
-  days_out_last_365d, days_since_last_injury_start, days_since_last_injury_end, last_injury_days_out,
-  coalesce(age, 0) AS age,
-  CASE WHEN position = 'Central Midfield' THEN 1 ELSE 0 END AS pos_mid,
-  CASE WHEN position = 'Goalkeeper' THEN 1 ELSE 0 END AS pos_gk
-FROM strict_panel
-"""
-
-
 @query("R16_aligned_model_frame", """
 SELECT season::BIGINT AS season, count(*)::BIGINT AS n, sum(minutes_last_4w)::DOUBLE AS minutes_last_4w,
   sum(injuries_last_365d)::DOUBLE AS injuries_last_365d, round(sum(coalesce(age, 0)), 3) AS age, 0.0::DOUBLE AS pos_absent

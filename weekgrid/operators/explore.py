@@ -37,6 +37,11 @@ def preview(
     return rows if limit is None else rows.limit(limit)
 
 
+def export_rows(panel: DataFrame, where: PanelFilter, path: str, limit: int = 20_000) -> None:
+    """A bounded CSV export of a filtered panel."""
+    preview(panel, where, limit=limit).write.mode("overwrite").option("header", True).csv(path)
+
+
 def count_rows(panel: DataFrame, where: PanelFilter) -> DataFrame:
     return panel.filter(where.condition()).agg(F.count(F.lit(1)).alias("n"))
 

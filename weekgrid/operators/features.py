@@ -11,10 +11,9 @@ from pyspark.sql import functions as F
 from .. import schemas as S
 from ..functions.scalars import clip, day_number, measure
 from .cleaning import drop_placeholder_dates
-from .grid import appearance_facts  # noqa: F401  (part of this module's surface)
 from .ranking import exact_quantiles
 from .temporal import (
-    DAY, Feature, ahead, as_of, at_least_zero, at_probes, before, covers_probe, daily, days_since, flag, or_zero,
+    Feature, ahead, as_of, at_least_zero, at_probes, before, covers_probe, daily, days_since, flag, or_zero,
     or_zero_count, prior, total,
 )
 

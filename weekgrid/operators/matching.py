@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 # The scorer travels with the job, so workers need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -144,7 +146,8 @@ def best_matches(
     settled = _best(near.withColumn("match_score", _pair_score("name_key", "candidate_key"))).filter(
         F.col("match_score") >= bar
     )
-    found = equal.unionByName(settled)
+    # Written once: it both answers these names and decides which ones are left to scan.
+    found = stored(equal.unionByName(settled))
     left_over = keys.join(found.select("name_key"), "name_key", "left_anti")
     found = found.unionByName(scan_matches(left_over, slim))
     return (

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schemas as S
 from ..operators import audits, cleaning, features, grid, labels
 from ..operators.features import KEY, WEEK
 from ..sources.sinks import StageStore, write_manifest, write_panel, write_tables
