@@ -39,12 +39,11 @@ def _acwr() -> Column:
     return F.col("minutes_last_1w") / (F.col("minutes_last_4w") / 4 + 1)
 
 
-def workload(facts: DataFrame) -> Family:
-    """Prior minutes by game date, the acute-chronic ratio and days since last played."""
-    minutes = measure("minutes_played")
-    family = daily(facts, KEY, "game_date", wl_minutes=F.sum(minutes)).withColumn(
-        "wl_played", F.when(F.col("wl_minutes") > 0, 1)
-    )
+def _load_measures() -> dict[str, Column]:
+    return {"wl_minutes": measure("minutes_played")}
+
+
+def _load_features() -> list[Feature]:
     rest = days_since(S.NEVER)
     features = [Feature(n, "sum", "wl_minutes", prior(w), total) for n, w in MINUTE_WINDOWS.items()]
     features.append(
@@ -53,13 +52,23 @@ def workload(facts: DataFrame) -> Family:
             lambda value, day: clip(rest(value, day), 0, S.NEVER).cast("int"),
         )
     )
-    return Family([family], features, {"acwr": _acwr()})
+    return features
 
 
-def congestion(facts: DataFrame) -> Family:
-    """Match density, peak load, away load and cards by appearance date."""
+def _with_played(facts: DataFrame) -> DataFrame:
+    return facts.withColumn("wl_played", F.when(F.col("wl_minutes") > 0, 1))
+
+
+def workload(facts: DataFrame) -> Family:
+    """Prior minutes by game date, the acute-chronic ratio and days since last played."""
+    family = daily(facts, KEY, "game_date", **{n: F.sum(v) for n, v in _load_measures().items()})
+    return Family([_with_played(family)], _load_features(), {"acwr": _acwr()})
+
+
+def _density(facts: DataFrame) -> tuple[dict[str, Column], list[Feature], dict[str, Column]]:
+    """Summed measures, features and derived columns of match density, as far as the columns allow."""
     minutes = measure("minutes_played")
-    measures = {"cg_matches": F.count(F.lit(1)).cast("double"), "cg_minutes": F.sum(minutes)}
+    measures = {"cg_matches": F.lit(1.0), "cg_minutes": minutes}
     features = [Feature(n, "sum", "cg_matches", prior(w), total) for n, w in MATCH_WINDOWS.items()]
     features += [
         Feature("minutes_last_10d", "sum", "cg_minutes", prior(10), total),
@@ -68,7 +77,7 @@ def congestion(facts: DataFrame) -> Family:
     derived = {}
     if "away_club_id" in facts.columns and "player_club_id" in facts.columns:
         away = F.coalesce((F.col("player_club_id") == F.col("away_club_id")).cast("double"), F.lit(0.0))
-        measures |= {"cg_away": F.sum(away), "cg_away_minutes": F.sum(minutes * away)}
+        measures |= {"cg_away": away, "cg_away_minutes": minutes * away}
         features += [
             Feature("away_matches_last_28d", "sum", "cg_away", prior(28), total),
             Feature("away_minutes_last_28d", "sum", "cg_away_minutes", prior(28), total),
@@ -76,9 +85,34 @@ def congestion(facts: DataFrame) -> Family:
         derived["away_match_share_28d"] = F.col("away_matches_last_28d") / (F.col("matches_last_28d") + 1e-6)
     for colour, days in (("yellow", 28), ("red", 56)):
         if f"{colour}_cards" in facts.columns:
-            measures[f"cg_{colour}"] = F.sum(measure(f"{colour}_cards"))
+            measures[f"cg_{colour}"] = measure(f"{colour}_cards")
             features.append(Feature(f"{colour}_cards_last_{days}d", "sum", f"cg_{colour}", prior(days), total))
-    return Family([daily(facts, KEY, "date", **measures)], features, derived)
+    return measures, features, derived
+
+
+def congestion(facts: DataFrame) -> Family:
+    """Match density, peak load, away load and cards by appearance date."""
+    measures, features, derived = _density(facts)
+    return Family([daily(facts, KEY, "date", **{n: F.sum(v) for n, v in measures.items()})], features, derived)
+
+
+def appearance_load(facts: DataFrame) -> Family:
+    """Workload and congestion together: the facts are read and shuffled once.
+
+    Each appearance counts on its game date for workload and on its own date for congestion. The two are
+    nearly always the same day, and then share one daily row.
+    """
+    by_game, by_own = _load_measures(), _density(facts)
+    measures, features, derived = by_own
+    dates = F.array(
+        F.struct(F.lit(True).alias("game"), F.col("game_date").alias("day")),
+        F.struct(F.lit(False).alias("game"), F.col("date").alias("day")),
+    )
+    dated = facts.withColumn("_on", F.explode(dates))
+    game = F.col("_on.game")
+    sums = {n: F.sum(F.when(game, v)) for n, v in by_game.items()} | {n: F.sum(F.when(~game, v)) for n, v in measures.items()}
+    family = daily(dated, KEY, F.col("_on.day"), **sums)
+    return Family([_with_played(family)], _load_features() + features, {"acwr": _acwr(), **derived})
 
 
 def transfer_context(transfers: DataFrame | None) -> Family:

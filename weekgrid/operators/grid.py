@@ -59,10 +59,18 @@ def attributed_minutes(leagues: DataFrame, facts: DataFrame) -> DataFrame:
     Minutes are summed per (player, season, club pair) before the two lookups, so those joins see one row
     per affiliation instead of one per appearance.
     """
+    known = _affiliations(leagues, facts).filter(F.col("league_competition_id").isNotNull())
+    return known.select("player_id", "season", "league_competition_id", "minutes")
+
+
+def _affiliations(leagues: DataFrame, facts: DataFrame) -> DataFrame:
+    """(player, season, league or null) with minutes and the first and last appearance."""
     affiliated = (
         facts.filter(F.col("player_id").isNotNull() & F.col("season").isNotNull())
         .groupBy("player_id", "season", "player_club_id", "player_current_club_id")
-        .agg(F.sum(measure("minutes_played")).alias("minutes"))
+        .agg(
+            F.sum(measure("minutes_played")).alias("minutes"), F.min("date").alias("first_app"), F.max("date").alias("last_app")
+        )
     )
     match = leagues.select("season", F.col("club_id").alias("player_club_id"), F.col("league_competition_id").alias("_m"))
     current = leagues.select(
@@ -72,9 +80,8 @@ def attributed_minutes(leagues: DataFrame, facts: DataFrame) -> DataFrame:
         affiliated.join(match, ["season", "player_club_id"], "left")
         .join(current, ["season", "player_current_club_id"], "left")
         .withColumn("league_competition_id", F.coalesce("_m", "_c"))
-        .filter(F.col("league_competition_id").isNotNull())
         .groupBy("player_id", "season", "league_competition_id")
-        .agg(F.sum("minutes").alias("minutes"))
+        .agg(F.sum("minutes").alias("minutes"), F.min("first_app").alias("first_app"), F.max("last_app").alias("last_app"))
     )
 
 
@@ -88,12 +95,24 @@ def primary_league(minutes: DataFrame) -> DataFrame:
 
 
 def cohort_seasons(target_games: DataFrame, facts: DataFrame) -> DataFrame:
-    """Players of target-league clubs: one row per (player, season) with league and calendar bounds.
+    """Players of target-league clubs: one row per (player, season) with league, calendar bounds and the
+    season's first and last appearance in any competition, all from one pass over the facts.
 
     The join carries only the calendar's bounds (one row per league season), so the wide weekly rows are
     never shuffled by the few (league, season) values.
     """
-    primary = primary_league(attributed_minutes(club_leagues(target_games), facts))
+    league = F.col("league_competition_id")
+    # Unattributed minutes take part in the dates, not in the choice.
+    choice = F.min(F.when(league.isNotNull(), F.struct(-F.col("minutes"), league)))
+    primary = (
+        _affiliations(club_leagues(target_games), facts)
+        .groupBy("player_id", "season")
+        .agg(
+            choice.getField("league_competition_id").alias("competition_id"),
+            F.min("first_app").alias("first_app"), F.max("last_app").alias("last_app"),
+        )
+        .filter(F.col("competition_id").isNotNull())
+    )
     return primary.join(calendar_bounds(target_games), ["season", "competition_id"])
 
 

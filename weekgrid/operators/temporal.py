@@ -216,8 +216,8 @@ def at_probes(
 
 
 def snapped(value: Column) -> Column:
-    """Running totals of fractions leave residues near 1e-12; keep six decimals (whole numbers are exact)."""
-    return F.when(F.abs(value) < 1e9, F.rint(value * 1e6) / 1e6).otherwise(value)
+    """Running totals of fractions leave residues near 1e-12; keep six decimals (whole numbers stay exact)."""
+    return F.rint(value * 1e6) / 1e6
 
 
 def or_zero(value: Column, day: Column) -> Column:

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..operators import audits, cleaning, features, grid, labels
 from ..operators.features import KEY, WEEK
 from ..sources.sinks import StageStore, write_manifest, write_panel, write_tables
@@ -37,16 +38,15 @@ def build_panel(inputs: PanelInputs, warmup: str = "documented", stages: StageSt
     )
     target_games, _ = cleaning.filter_target_leagues(inputs.games, inputs.appearances, inputs.competitions)
     seasons = grid.cohort_seasons(target_games, facts)
-    windows = labels.windows_of(facts)
-    skeleton = grid.explode_weeks(seasons.join(windows, [KEY, "season"], "left"))
-    skeleton = skeleton.select(
-        KEY, WEEK, "competition_id", "season",
-        F.when(F.col(WEEK).between(F.col("_window_start"), F.col("_window_end")), 1).otherwise(0).alias("active_player"),
+    active = F.col(WEEK).between(
+        F.date_sub("first_app", S.ACTIVITY_BUFFER_DAYS), F.date_add("last_app", S.ACTIVITY_BUFFER_DAYS)
+    )
+    skeleton = grid.explode_weeks(seasons).select(
+        KEY, WEEK, "competition_id", "season", F.when(active, 1).otherwise(0).alias("active_player")
     )
 
     families = [
-        features.workload(facts),
-        features.congestion(facts),
+        features.appearance_load(facts),
         features.transfer_context(inputs.transfers),
         features.value_context(inputs.market_values, inputs.value_tiebreak),
         features.injury_family(inputs.injuries),
