@@ -116,7 +116,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("length").desc(), F.col("doc_id"), F.col("piece")]
-    ranged = pieces.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Range sorting reads its input twice, so the tokens are counted once and written.
+    ranged = stored(pieces).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # Partition number and place inside it; written, so that no later pass can deal the rows anew.
     ranged = stored(ranged.withColumn("at", F.monotonically_increasing_id()))
     part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
