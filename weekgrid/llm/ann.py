@@ -9,6 +9,7 @@ candidates of all tables are reranked by the exact inner product of the original
 Equal vectors are one entry with its ``k + 1`` least ids, so a vector that a third of all rows share is scored once. Buckets are
 gathered into blocks; crowded blocks are split on the side of the entries and on that of the queries, so a
 block has a bounded number of either. Per block a query keeps its ``k + 1`` best, and blocks are merged by bounded lists.
+Queries whose buckets held fewer than ``k`` candidates in all visit every bucket of one table instead, which is exact.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, have no id, or another length than most take
 no part, neither as candidates nor as queries. Rows that share an id and a vector are one; ties go to the smaller id.
@@ -131,7 +132,7 @@ def nearest(
     first = one.withColumn("place", place).filter(F.col("place") <= k + 1)
     entries = stored(first.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("gid", F.col("ids")[0]))
     asking = stored(one.filter(queries).join(entries.select("v", "gid"), "v").select(F.col("vec_id").alias("query_id"), "gid"))
-    facts = entries.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
+    facts = entries.agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).first()
     # Vectors of one length need no lift: rounding must not give them one.
     hashes = Hashes(dims, (facts["longest"] or 1.0) * (1 + 1e-7), tables, functions, width, seed)
     template = probe_template(functions, probes)
@@ -159,19 +160,7 @@ def nearest(
     placed = stored(over_batches(entries.select("gid", "v"), entry_rows, "gid bigint, block bigint, key bigint"))
     probed = stored(over_batches(asking.select("gid").distinct().join(entries.select("gid", "v"), "gid"), probe_rows, "gid bigint, block bigint, keys binary"))
 
-    # Sizes of blocks: one row per block, blocks being few thousand entries each.
-    parts = (
-        placed.groupBy("block").agg(F.ceil(F.count("*") / ENTRIES).cast("int").alias("parts"))
-        .join(probed.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("rounds")), "block")
-    )
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    some = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
-    left = placed.join(parts, "block").withColumn("part", some("parts")).withColumn("round", every("rounds"))
-    right = probed.join(parts, "block").withColumn("part", every("parts")).withColumn("round", some("rounds"))
     vector = entries.select("gid", "v")
-    left = left.join(vector, "gid").select("block", "part", "round", "gid", "key", "v")
-    # New names for the columns that both sides take from the same table.
-    right = right.join(vector, "gid").select(*(F.col(c).alias(c) for c in ("block", "part", "round", "gid", "keys", "v")))
     out = pa.schema([("gid", pa.int64()), ("best", pa.list_(pa.struct([("below", pa.float64()), ("gid", pa.int64())])))])
 
     def visit(entry: pa.Table, query: pa.Table) -> pa.Table:
@@ -182,7 +171,9 @@ def nearest(
         key, ids = key[order], entry["gid"].to_numpy()[order]
         v = matrix(entry["v"].combine_chunks(), dims)[order]
         q = matrix(query["v"].combine_chunks(), dims)
-        wanted = [np.frombuffer(x, "<i8") for x in query["keys"].to_pylist()]
+        kinds, begins = np.unique(key, return_index=True)
+        # A query without keys visits every bucket.
+        wanted = [np.frombuffer(x, "<i8") if x else kinds for x in query["keys"].to_pylist()]
         who = np.repeat(np.arange(len(wanted)), [len(x) for x in wanted])
         wanted = np.concatenate(wanted)
         by_key = np.argsort(wanted, kind="stable")
@@ -190,7 +181,6 @@ def nearest(
         width_ = k + 1
         best = np.full((len(q), width_), -np.inf)
         at = np.full((len(q), width_), -1, np.int64)
-        kinds, begins = np.unique(key, return_index=True)
         for value, a, b in zip(kinds, begins, [*begins[1:], len(key)]):
             mine = who[np.searchsorted(wanted, value, "left") : np.searchsorted(wanted, value, "right")]
             if not len(mine):
@@ -205,14 +195,35 @@ def nearest(
         lists = [[{"below": -s, "gid": g} for s, g in zip(x, y) if g >= 0 or s > -np.inf] for x, y in zip(best.tolist(), at.tolist())]
         return pa.Table.from_arrays([pa.array(query["gid"].to_numpy()), pa.array(lists, out.field("best").type)], schema=out)
 
-    keys = ["block", "part", "round"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(visit, "gid bigint, best array<struct<below:double, gid:bigint>>")
-    merged = found.groupBy("gid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
-    # From distinct vectors to ids: each of the k + 1 best brings at most k + 1 ids.
-    wide = merged.select("gid", F.explode("best").alias("b")).select("gid", "b.below", F.col("b.gid").alias("other"))
-    wide = wide.join(entries.select(F.col("gid").alias("other"), "ids"), "other")
-    listed = wide.select("gid", F.transform("ids", lambda i: F.struct(F.col("below"), i.alias("vec_id"))).alias("some"))
-    listed = listed.groupBy("gid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, k + 1).alias("best"))
+    def search(probed: DataFrame) -> DataFrame:
+        """(gid, best) with the ``k + 1`` best ids, the query's own among them."""
+        # Sizes of blocks: one row per block, blocks being few thousand entries each.
+        parts = (
+            placed.groupBy("block").agg(F.ceil(F.count("*") / ENTRIES).cast("int").alias("parts"))
+            .join(probed.groupBy("block").agg(F.ceil(F.count("*") / ASKING).cast("int").alias("rounds")), "block")
+        )
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        some = lambda n: F.pmod(F.xxhash64("gid"), F.col(n)).cast("int")
+        left = placed.join(parts, "block").withColumn("part", some("parts")).withColumn("round", every("rounds"))
+        right = probed.join(parts, "block").withColumn("part", every("parts")).withColumn("round", some("rounds"))
+        left = left.join(vector, "gid").select("block", "part", "round", "gid", "key", "v")
+        # New names for the columns that both sides take from the same table.
+        right = right.join(vector, "gid").select(*(F.col(c).alias(c) for c in ("block", "part", "round", "gid", "keys", "v")))
+        keys = ["block", "part", "round"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(visit, "gid bigint, best array<struct<below:double, gid:bigint>>")
+        merged = found.groupBy("gid").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("best")))), 1, k + 1).alias("best"))
+        # From distinct vectors to ids: each of the k + 1 best brings at most k + 1 ids.
+        wide = merged.select("gid", F.explode("best").alias("b")).select("gid", "b.below", F.col("b.gid").alias("other"))
+        wide = wide.join(entries.select(F.col("gid").alias("other"), "ids"), "other")
+        listed = wide.select("gid", F.transform("ids", lambda i: F.struct(F.col("below"), i.alias("vec_id"))).alias("some"))
+        return listed.groupBy("gid").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, k + 1).alias("best"))
+
+    listed = stored(search(probed))
+    needed = min(k + 1, facts["ids"] or 0)
+    short = asking.select("gid").distinct().join(listed.filter(F.size("best") >= needed), "gid", "left_anti")
+    short = stored(short.select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(spread - 1).cast("long"))).alias("block"), F.lit(b"").alias("keys")))
+    if not short.isEmpty():
+        listed = listed.filter(F.size("best") >= needed).unionByName(search(short))
     own = asking.join(listed, "gid").select("query_id", F.slice(F.filter("best", lambda b: b["vec_id"] != F.col("query_id")), 1, k).alias("best"))
     return own.select("query_id", F.posexplode("best").alias("rank", "b")).select(
         "query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.below")).alias("score")

@@ -81,7 +81,7 @@ def _partial(memory: int):
 
         def groups():
             for content, h, (number, n, top) in zip(table.contents, table.hashes, table.values):
-                yield {"part": number, "content": content, "hash": h - (1 << 63), "n": n, "top": top[1], "top_row": top[2]}
+                yield {"part": number, "content": content, "hash": h - (1 << 63), "n": n, "top": top[1] if top[0] else None, "top_row": top[2]}
 
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):

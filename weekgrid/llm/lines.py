@@ -73,7 +73,8 @@ def owned_lines(
     """(hash, doc): the least document of every line that takes part, hash being MD5 of the line's key."""
     spark = docs.sparkSession
     folder = f"{shared_dir(spark).rstrip('/')}/lines-{uuid.uuid4().hex}"
-    limits = docs.select(F.col(id_col).cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.001)
+    cuts = [i / batches for i in range(1, batches)]
+    limits = docs.select(F.col(id_col).cast("double").alias("d")).approxQuantile("d", cuts, 0.001) if cuts else []
     batch = F.lit(0)
     for limit in sorted(set(limits)):
         batch = batch + F.when(F.col("doc") > limit, 1).otherwise(0)
