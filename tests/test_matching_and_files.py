@@ -69,7 +69,7 @@ def test_detect_tables(spark, tmp_path):
     write(tmp_path / "m/player_latest_market_value/v.csv", "player_id,date_unix,value\n1,2024-01-02,5\n")
     write(tmp_path / "p/prof.csv", "player_id,height,position\n1,180,GK\n")
     write(tmp_path / "i/other.csv", "player_id,from,until,Days\n1,2024-01-02,2024-01-05,3\n")
-    found = {k: v.rsplit("/", 1)[-1] for k, v in readers.detect_tables(spark, str(tmp_path)).items()}
+    found = {k: v[0].rsplit("/", 1)[-1] for k, v in readers.detect_tables(spark, str(tmp_path)).items()}
     assert found == {"injuries": "inj.csv", "injuries_irrazional": "other.csv"}
     cache = str(tmp_path / "cache")
     assert readers.detect_tables(spark, str(tmp_path), cache) == readers.detect_tables(spark, "/nowhere", cache)

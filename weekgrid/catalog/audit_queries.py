@@ -35,12 +35,13 @@ def inner_join(t):
 
 
 @query("J2_left_lookup", """
-SELECT t.player_id, transfer_date, coalesce(position, 'none') AS position
-FROM transfers t LEFT JOIN profiles USING (player_id) WHERE transfer_date IS NOT NULL
+SELECT t.player_id, coalesce(transfer_date, DATE '1900-01-01') AS transfer_date, coalesce(position, 'none') AS position
+FROM transfers t LEFT JOIN profiles USING (player_id)
 """)
 def left_lookup(t):
-    looked = t.transfers.filter(F.col("transfer_date").isNotNull()).join(t.profiles.select(KEY, "position"), KEY, "left")
-    return looked.withColumn("position", F.coalesce("position", F.lit("none")))
+    looked = t.transfers.join(t.profiles.select(KEY, "position"), KEY, "left")
+    day = F.coalesce("transfer_date", F.lit("1900-01-01").cast("date"))
+    return looked.withColumns({"position": F.coalesce("position", F.lit("none")), "transfer_date": day})
 
 
 @query("J3_semi_join", "SELECT player_id, name FROM players WHERE player_id IN (SELECT player_id FROM injuries)")
@@ -476,12 +477,12 @@ def filtered_count(t):
 
 
 @query("X3_group_prevalence", f"""
-SELECT position AS group_key, count(*)::BIGINT AS n, round(avg(target), 6) AS prevalence FROM panel WHERE {WHERE_SQL}
-AND position IS NOT NULL GROUP BY 1 ORDER BY n DESC, group_key LIMIT 200
+SELECT coalesce(position, 'none') AS group_key, count(*)::BIGINT AS n, round(avg(target), 6) AS prevalence FROM panel WHERE {WHERE_SQL}
+GROUP BY position ORDER BY n DESC, group_key LIMIT 200
 """)
 def group_prevalence(t):
-    known = panel(t).filter(F.col("position").isNotNull())
-    return rounded(explore.group_prevalence(known, WHERE, "position"), "prevalence")
+    groups = explore.group_prevalence(panel(t), WHERE, "position")
+    return rounded(groups.withColumn("group_key", F.coalesce("group_key", F.lit("none"))), "prevalence")
 
 
 @query("X4_player_rows", """
@@ -513,18 +514,20 @@ def week_range(t):
 
 
 @query("X8_trace_matches", """
-SELECT a.player_id, a.game_id, a.date, a.minutes_played, g.game_date, g.season::BIGINT AS season
-FROM appearances a LEFT JOIN games g ON a.game_id = g.game_id WHERE player_id = 7 AND minutes_played IS NOT NULL
+SELECT a.player_id, a.game_id, a.date, coalesce(a.minutes_played, -1)::DOUBLE AS minutes_played, g.game_date, g.season::BIGINT AS season
+FROM appearances a LEFT JOIN games g ON a.game_id = g.game_id WHERE player_id = 7
 """)
 def trace_matches(t):
     rows = explore.trace_player(cohort(t), t.appearances, t.games, t.injuries, 7)["matches"]
-    rows = rows.filter(F.col("minutes_played").isNotNull())
-    return bigints(rows.select(KEY, "game_id", "date", "minutes_played", "game_date", "season"))
+    minutes = F.coalesce(F.col("minutes_played").cast("double"), F.lit(-1.0)).alias("minutes_played")
+    return bigints(rows.select(KEY, "game_id", "date", minutes, "game_date", "season"))
 
 
 @query("X8_trace_intervals", """
-SELECT player_id, injury_start, injury_end, days_out FROM injuries WHERE player_id = 7 AND injury_end IS NOT NULL
+SELECT player_id, injury_start, coalesce(injury_end, DATE '1900-01-01') AS injury_end, coalesce(days_out, -1)::DOUBLE AS days_out
+FROM injuries WHERE player_id = 7
 """)
 def trace_intervals(t):
     rows = explore.trace_player(cohort(t), t.appearances, t.games, t.injuries, 7)["injuries"]
-    return rows.filter(F.col("injury_end").isNotNull()).select(KEY, "injury_start", "injury_end", "days_out")
+    end = F.coalesce("injury_end", F.lit("1900-01-01").cast("date")).alias("injury_end")
+    return rows.select(KEY, "injury_start", end, F.coalesce("days_out", F.lit(-1.0)).alias("days_out"))

@@ -18,7 +18,7 @@ QUICK = Settings(max_iter=10, max_depth=4, patience=0)
 SCORED = f"""
 SELECT player_id, week_start, season, target,
   least(minutes_last_4w + 20 * injuries_last_365d, 400) / 400.0::DOUBLE AS p,
-  player_id * 1000000 + (week_start - DATE '1970-01-01') * 10 + season % 10 AS tie
+  player_id::HUGEINT * 1000000000000 + (week_start - DATE '1970-01-01' + 5000000)::HUGEINT * 100000 + season AS tie
 FROM strict_panel WHERE week_start >= DATE '{TEST_FROM}'
 """
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Window
@@ -243,9 +244,10 @@ def predicates(t):
 # --- order, top, samples, sets ------------------------------------------------------------------------
 
 
-@query("T1_ordered_rows", "SELECT transfer_date, player_id FROM transfers WHERE transfer_date IS NOT NULL ORDER BY 1, 2")
+@query("T1_ordered_rows", "SELECT coalesce(transfer_date, DATE '1900-01-01') AS transfer_date, player_id FROM transfers ORDER BY 1, 2")
 def ordered_rows(t):
-    return t.transfers.filter(F.col("transfer_date").isNotNull()).select("transfer_date", KEY).orderBy("transfer_date", KEY)
+    dated = t.transfers.select(F.coalesce("transfer_date", F.lit("1900-01-01").cast("date")).alias("transfer_date"), KEY)
+    return dated.orderBy("transfer_date", KEY)
 
 
 @query("T2_head", "SELECT player_id, name FROM players ORDER BY player_id LIMIT 200")
@@ -373,7 +375,7 @@ SELECT player_id, coalesce(injury_start, DATE '1900-01-01') AS injury_start, coa
 def label_tables(t):
     folder = scratch(t)
     spelled = t.raw_injuries.withColumnsRenamed({"injury_start": "from_date", "injury_end": "end_date", "days_out": "days_missed"})
-    sinks.write_csv(spelled.coalesce(1), f"{folder}/injuries")
+    sinks.write_csv(spelled.repartition(8), f"{folder}/injuries")  # eight parts, one table
     loaded = readers.load_labels(t.spark, folder)["injuries"]
     long_ago = F.lit("1900-01-01").cast("date")
     return loaded.select(
@@ -382,20 +384,69 @@ def label_tables(t):
     )
 
 
-@query("S3_S9_S10_header_inventory", "SELECT 'c_custkey,c_mktsegment,c_name' AS header, count(*)::BIGINT AS n_rows FROM customer")
+@query("S3_S10_header_inventory", "SELECT 'c_custkey,c_mktsegment,c_name' AS header, count(*)::BIGINT AS n_rows FROM customer")
 def header_inventory(t):
     folder = scratch(t)
-    sinks.write_csv(t.raw("customer").select("c_custkey", "c_mktsegment", "c_name").coalesce(1), folder)
+    sinks.write_csv(t.raw("customer").select("c_custkey", "c_mktsegment", "c_name").repartition(4), folder)
     found = readers.header_inventory(t.spark, folder)
-    return found.select(F.array_join("cols", ",").alias("header"), "n_rows")
+    return found.groupBy(F.array_join("cols", ",").alias("header")).agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query("S9_panel_scan", """
+SELECT competition_id, season::BIGINT AS season, count(*)::BIGINT AS n, count(DISTINCT player_id)::BIGINT AS players
+FROM grid WHERE competition_id = 'GB1' AND week_start >= DATE '1996-01-01' GROUP BY 1, 2
+""")
+def panel_scan(t):
+    """The written panel as a view, asked in SQL with bound values."""
+    folder = scratch(t)
+    sinks.write_panel(cohort(t), f"{folder}/panel")
+    return explore.scan_panel(
+        t.spark, f"{folder}/panel", """
+        SELECT competition_id, CAST(season AS BIGINT) AS season, count(*) AS n, count(DISTINCT player_id) AS players
+        FROM panel WHERE competition_id = :league AND week_start >= :since GROUP BY competition_id, season
+        """, {"league": "GB1", "since": dt.date(1996, 1, 1)},
+    )
+
+
+@query("S2_profile_transfer_value_tables", """
+SELECT 'profiles' AS name, count(*)::BIGINT AS n, count(DISTINCT player_id)::BIGINT AS players FROM profiles
+UNION ALL SELECT 'transfers', count(*), count(DISTINCT player_id) FROM transfers
+UNION ALL SELECT 'market_values', count(*), count(DISTINCT player_id) FROM market_values
+""")
+def other_label_tables(t):
+    folder = scratch(t)
+    spelled = {
+        "profiles": t.profiles, "transfers": t.transfers.withColumn("from_team_id", F.lit(0)),
+        "market_values": t.market_values.withColumnRenamed("value", "market_value_in_eur"),
+    }
+    for name, df in spelled.items():
+        sinks.write_csv(df.repartition(3), f"{folder}/{name}")
+    loaded = readers.load_labels(t.spark, folder)
+    out = None
+    for name in ("profiles", "transfers", "market_values"):
+        own = loaded[name].agg(F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("players"))
+        own = own.select(F.lit(name).alias("name"), "n", "players")
+        out = own if out is None else out.unionByName(own)
+    return bigints(out)
+
+
+@query("S7_ragged_lines", "SELECT n_nationkey::BIGINT AS key, CASE WHEN n_nationkey % 3 = 0 THEN NULL ELSE n_name END AS name FROM nation WHERE n_nationkey % 3 < 2")
+def ragged_lines(t):
+    """Lines with too few fields are kept, those with too many are not."""
+    folder, key = scratch(t), F.col("n_nationkey").cast("string")
+    line = F.when(key.cast("int") % 3 == 0, key).when(key.cast("int") % 3 == 1, F.concat_ws(",", key, "n_name")).otherwise(F.concat_ws(",", key, "n_name", F.lit("more")))
+    lines = t.raw("nation").select("n_nationkey", line.alias("value"))
+    header = t.spark.createDataFrame([(-1, "key,name")], "n_nationkey long, value string")
+    header.unionByName(lines.withColumn("n_nationkey", F.col("n_nationkey").cast("long"))).repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey").select("value").write.text(f"{folder}/t.csv")
+    return readers.load_table(t.spark, f"{folder}/t.csv")
 
 
 @query("S5_load_all_csvs", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def load_all_csvs(t):
     folder = scratch(t)
     for name in ("nation", "region"):
-        sinks.write_csv(t.raw(name).coalesce(1), f"{folder}/{name}.csv")
-    tables = {name: readers.load_table(t.spark, f"{folder}/{name}.csv") for name in ("nation", "region")}
+        sinks.write_csv(t.raw(name), f"{folder}/{name}.csv")
+    tables, _ = readers.load_all_csvs(t.spark, folder)
     return tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name")
 
 
@@ -404,7 +455,7 @@ SELECT 'my_data_set_v2' AS dataset_id, 'My-Data Set (v2)' AS dataset, count(DIST
 """)
 def dataset_discovery(t):
     folder = scratch(t)
-    t.raw("region").coalesce(1).write.parquet(f"{folder}/My-Data Set (v2)/region")
+    t.raw("region").write.parquet(f"{folder}/My-Data Set (v2)/region")
     found = readers.discover_datasets(t.spark, folder)
     path = found.first()["path"]
     regions = t.spark.read.parquet(path).agg(F.countDistinct("r_regionkey").alias("regions"))
@@ -414,7 +465,7 @@ def dataset_discovery(t):
 @query("S7_capped_csv_load", "SELECT least(count(*), 1000)::BIGINT AS n_rows, 3::BIGINT AS n_columns FROM orders")
 def capped_csv_load(t):
     folder = scratch(t)
-    sinks.write_csv(t.raw("orders").select("o_orderkey", "o_custkey", "o_totalprice").coalesce(1), f"{folder}/orders.csv")
+    sinks.write_csv(t.raw("orders").select("o_orderkey", "o_custkey", "o_totalprice"), f"{folder}/orders.csv")
     loaded = readers.load_table(t.spark, f"{folder}/orders.csv", rows=1000)
     return loaded.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(loaded.columns)).cast("bigint"))
 
@@ -438,7 +489,10 @@ def tables_panel_and_stages(t):
     return bigints(panel_back.groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(KEY).alias("players")))
 
 
-@query("S14_head_as_records")
+@query("S14_head_as_records", """
+SELECT to_json({'player_id': player_id, 'date': date, 'value': value, 'row_order': row_order})::VARCHAR AS record
+FROM market_values ORDER BY row_order LIMIT 100
+""")
 def head_as_records(t):
     return sinks.head_records(t.market_values.orderBy("row_order"), 100)
 
@@ -471,10 +525,10 @@ def dataset_index(t):
     folder = scratch(t)
     for name in ("injury_history", "players"):
         source = t.raw_injuries if name == "injury_history" else t.players
-        sinks.write_csv(source.coalesce(1), f"{folder}/Club Data/{name}.csv")
+        sinks.write_csv(source, f"{folder}/Club Data/{name}.csv")
     found = readers.discover_datasets(t.spark, folder)
-    # Spark writes folders named like files: their name, not the part file's, is the table.
-    named = found.withColumn("table", F.regexp_extract("path", r"/([^/]+)\.csv/[^/]+$", 1))
+    # Spark writes folders named like files: their name, not the part files', is the table.
+    named = found.withColumn("table", F.regexp_extract("path", r"/([^/]+)\.csv/[^/]+$", 1)).dropDuplicates(["dataset", "table"])
     return jobs.dataset_index(named)
 
 

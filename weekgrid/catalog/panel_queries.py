@@ -129,12 +129,12 @@ def sane_heights(t):
 
 
 @query("R10_ages", """
-SELECT player_id, injury_start, round((injury_start - date_of_birth) / 365.25, 6) AS age
-FROM injuries JOIN profiles USING (player_id) WHERE date_of_birth IS NOT NULL
+SELECT player_id, injury_start, coalesce(round((injury_start - date_of_birth) / 365.25, 6), -1)::DOUBLE AS age
+FROM injuries JOIN profiles USING (player_id)
 """)
 def ages(t):
-    joined = t.injuries.join(t.profiles.filter(F.col("date_of_birth").isNotNull()), KEY)
-    return joined.select(KEY, "injury_start", F.round(cleaning.age_at("injury_start", "date_of_birth"), 6).alias("age"))
+    age = F.round(cleaning.age_at("injury_start", "date_of_birth"), 6)
+    return t.injuries.join(t.profiles, KEY).select(KEY, "injury_start", F.coalesce(age, F.lit(-1.0)).alias("age"))
 
 
 @query("R11_profile_enrichment", """

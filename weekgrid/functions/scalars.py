@@ -25,8 +25,9 @@ def number(c: str | Column) -> Column:
 
 
 def measure(c: str | Column) -> Column:
-    """A numeric measure: unreadable or missing counts as zero."""
-    return F.coalesce(number(c), F.lit(0.0))
+    """A numeric measure: unreadable, missing, NaN and infinite count as zero."""
+    value = number(c)
+    return F.coalesce(F.when(F.abs(value) < float("inf"), value), F.lit(0.0))  # NaN is above infinity
 
 
 def monday(d: str | Column) -> Column:

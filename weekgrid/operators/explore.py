@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import all_of, contains_ci
@@ -30,6 +31,13 @@ class PanelFilter:
         return all_of(parts)
 
 
+def scan_panel(spark: SparkSession, path: str, sql: str, values: dict) -> DataFrame:
+    """A query in SQL over the written panel, as the view ``panel``; values are bound, never pasted into the text."""
+    view = f"panel_{uuid.uuid4().hex}"
+    spark.read.parquet(path).createOrReplaceTempView(view)
+    return spark.sql(f"WITH panel AS (SELECT * FROM {view}) {sql}", args=values)
+
+
 def preview(
     panel: DataFrame, where: PanelFilter, columns: list[str] | None = None, limit: int | None = 1000
 ) -> DataFrame:

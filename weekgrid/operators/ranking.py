@@ -1,8 +1,8 @@
 """Exact global order statistics without a global sort in one task.
 
 Rows are first counted per distinct value, so repeated values cost one row per map task. When the distinct
-values are many, cut points from one approximate-percentile pass (a few hundred numbers, fixed on the
-driver so that every use sees the same ones) split the value range into buckets of similar size; running
+values are many, cut points from one approximate-percentile pass (one number for each ROWS_PER_BUCKET distinct values,
+fixed on the driver so that every use sees the same ones) split the value range into buckets of similar size; running
 counts are then local to a bucket plus the bucket's offset. The cut points only balance the work: results
 are exact whatever they are.
 """
@@ -19,24 +19,23 @@ from pyspark.sql import functions as F
 from ..functions.scalars import ratio
 
 ROWS_PER_BUCKET = 200_000
-MAX_BUCKETS = 512
 BUCKET = "_bucket"
 
 
 def _cut_points(df: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
-    """Interior bucket limits per column; none when one bucket is enough."""
-    points = F.array(*[F.lit(i / MAX_BUCKETS) for i in range(1, MAX_BUCKETS)])
-    row = df.agg(
-        *[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(columns)],
-        *[F.percentile_approx(F.col(c).cast("double"), points, MAX_BUCKETS * 20).alias(f"p_{i}") for i, c in enumerate(columns)],
-    ).first()
-    cuts = {}
-    for i, c in enumerate(columns):
-        wanted = min(MAX_BUCKETS, row[f"n_{i}"] // ROWS_PER_BUCKET + 1)
-        found = sorted({v for v in row[f"p_{i}"] or [] if v is not None and math.isfinite(v)})
-        step = max(1, len(found) // wanted)
-        cuts[c] = found[::step] if wanted > 1 else []
-    return cuts
+    """Interior bucket limits per column, as many as keep a bucket near ROWS_PER_BUCKET distinct values."""
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(f"n_{i}") for i, c in enumerate(columns)]).first()
+    wanted = {c: sizes[f"n_{i}"] // ROWS_PER_BUCKET for i, c in enumerate(columns)}
+    asked = [c for c in columns if wanted[c]]
+    if not asked:
+        return {c: [] for c in columns}
+    aggregates = []
+    for i, c in enumerate(asked):
+        points = F.array(*[F.lit(k / (wanted[c] + 1)) for k in range(1, wanted[c] + 1)])
+        aggregates.append(F.percentile_approx(F.col(c).cast("double"), points, max(10_000, wanted[c] * 20)).alias(f"p_{i}"))
+    row = df.agg(*aggregates).first()
+    found = {c: row[f"p_{i}"] or [] for i, c in enumerate(asked)}
+    return {c: sorted({v for v in found.get(c, []) if v is not None and math.isfinite(v)}) for c in columns}
 
 
 def _with_buckets(df: DataFrame, cuts: dict[str, list[float]]) -> DataFrame:
@@ -69,7 +68,7 @@ def _running(bucketed, value, measures, by, descending, single) -> DataFrame:
         return out.drop(BUCKET)
     totals = bucketed.groupBy(*by, BUCKET).agg(*[F.sum(m).alias(m) for m in measures])
     ahead = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    # Bounded: at most MAX_BUCKETS + 1 rows per group.
+    # One row per bucket and group.
     offsets = totals.select(*by, BUCKET, *[F.coalesce(F.sum(m).over(ahead), F.lit(0)).alias(f"_off_{m}") for m in measures])
     joined = out.join(offsets, [*by, BUCKET])
     names = [c for c in out.columns if c != BUCKET and not c.startswith("cum_")]

@@ -142,8 +142,10 @@ def fit_risk(split: DataFrame, features: list[str], settings: Settings = Setting
 
 
 def tie_key() -> Column:
-    """A number that orders rows by player, week, season; unique per panel row."""
-    return F.col(KEY) * 1_000_000 + F.unix_date(WEEK) * 10 + F.col("season") % 10
+    """A number that orders rows by player, week, season: side by side in one decimal, so that no id overflows it."""
+    day = F.unix_date(WEEK) + 5_000_000  # not negative for any date
+    parts = F.col(KEY).cast("decimal(20,0)") * F.lit(10**12).cast("decimal(13,0)")
+    return (parts + day.cast("decimal(8,0)") * F.lit(10**5).cast("decimal(6,0)") + F.col("season").cast("decimal(5,0)")).cast("decimal(38,0)")
 
 
 def evaluate(split: DataFrame, fit: FittedRisk, label: str = "target") -> DataFrame:

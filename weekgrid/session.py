@@ -48,7 +48,9 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = os.environ.setdefault("WEEKGRID_LOCAL_DIR", tempfile.mkdtemp(prefix="weekgrid-"))
+        folder = os.environ.get("WEEKGRID_LOCAL_DIR")
+        if not folder:
+            folder = os.environ["WEEKGRID_LOCAL_DIR"] = tempfile.mkdtemp(prefix="weekgrid-")
     return folder
 
 

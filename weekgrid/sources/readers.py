@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,17 +56,40 @@ def list_files(spark: SparkSession, root: str, kinds: tuple[str, ...] = ("csv",)
     return sorted(found, key=lambda f: f.path)
 
 
-def read_text_columns(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with every column as text: nothing is guessed, so nothing fails before it is cast."""
+def list_children(spark: SparkSession, folder: str, kind: str = "csv") -> list[FileInfo]:
+    """The direct children of a folder with that extension, files and folders alike, by path."""
+    hadoop, system = _path(spark, folder)
+    found = [FileInfo(s.getPath().toString(), s.getLen()) for s in system.listStatus(hadoop)]
+    return sorted((f for f in found if f.kind == kind), key=lambda f: f.path)
+
+
+def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """A CSV (a file, a folder or several of one header) with every column as text: nothing fails before it is cast."""
     return spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
 
 
-def headers(spark: SparkSession, path: str) -> list[str]:
-    """Column names only; an unreadable file has none."""
-    try:
-        return read_text_columns(spark, path).columns
-    except Exception:
-        return []
+def _plain_path(path: Column | str) -> Column:
+    """Spark reports paths URL-encoded and with more slashes than the file system lists them."""
+    return F.regexp_replace(F.url_decode(path), "^file:/+", "file:/")
+
+
+def first_lines(spark: SparkSession, root: str) -> DataFrame:
+    """(path, line, n_lines) of every CSV under ``root``, in one distributed pass over the files."""
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(root)
+    start = F.col("_metadata.file_block_start")
+    place = F.struct(start.alias("start"), F.monotonically_increasing_id().alias("at"))
+    rows = text.select(_plain_path(F.col("_metadata.file_path")).alias("path"), "value", place.alias("place"))
+    return rows.groupBy("path").agg(F.min_by("value", "place").alias("line"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def _names(line: str | None) -> list[str]:
+    """The column names of a header line."""
+    return next(csv.reader([(line or "").lstrip("\ufeff")]), [])
+
+
+def headers(spark: SparkSession, root: str) -> dict[str, list[str]]:
+    """Column names by file, read where the files are; what comes back is metadata, a line for each file."""
+    return {r["path"]: _names(r["line"]) for r in first_lines(spark, root).select("path", "line").collect()}
 
 
 def cast_to(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -108,22 +132,26 @@ def load_backbone(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     return tables
 
 
-def detect_tables(spark: SparkSession, root: str, cache: str | None = None) -> dict[str, str]:
-    """Table name -> file, by header signature; the least path wins, and an ``_alt`` signature fills a gap.
+def detect_tables(spark: SparkSession, root: str, cache: str | None = None) -> dict[str, list[str]]:
+    """Table name -> files, by header signature. Files of one folder with one header are one table, whole.
+
+    Of tables in different folders, or with different headers, the one with the least path wins, and an ``_alt``
+    signature fills a gap.
 
     ``cache`` names a JSON text file that is read when present and written otherwise.
     """
     if cache and exists(spark, cache):
         return json.loads("".join(r.value for r in spark.read.text(cache).collect()))
-    found: dict[str, str] = {}
-    for info in list_files(spark, root):
-        if S.SKIPPED_PATH_PART in info.name or S.SKIPPED_PATH_PART in info.path.rsplit("/", 1)[0]:
-            continue
-        columns = set(headers(spark, info.path))
+    parts: dict[tuple, list[str]] = {}
+    for path, names in sorted(headers(spark, root).items()):
+        if S.SKIPPED_PATH_PART not in path:
+            parts.setdefault((path.rsplit("/", 1)[0], *names), []).append(path)
+    found: dict[str, list[str]] = {}
+    for (_, *names), paths in sorted(parts.items(), key=lambda item: item[1][0]):
         for name, needed in S.SIGNATURES.items():
-            if needed <= columns:
-                found.setdefault(name, info.path)
-    tables: dict[str, str] = {}
+            if needed <= set(names):
+                found.setdefault(name, paths)
+    tables: dict[str, list[str]] = {}
     for name in S.SIGNATURES:
         if name in found:
             tables.setdefault(name.split("_alt")[0], found[name])
@@ -152,13 +180,47 @@ def load_labels(spark: SparkSession, root: str, cache: str | None = None) -> dic
     return tables
 
 
+KINDS = ("bigint", "double", "boolean", "date", "timestamp")  # tried in this order
+
+
+def _read_ragged(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV as text; short lines are padded with nulls, lines with more fields than the header are left out.
+
+    An empty field behind the last one (a comma at the end of the line) is no field.
+    """
+    names = read_text_columns(spark, path).columns
+    extra = "_extra"
+    while extra in names:
+        extra += "_"
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+    rows = reader.schema(schema).csv(path).filter(F.col(extra).isNull())
+    return rows.drop(extra)
+
+
+def infer_types(df: DataFrame) -> DataFrame:
+    """Text columns cast to the first kind that holds all their values, found in one pass; otherwise they stay text."""
+    def fits(c: str, kind: str) -> Column:
+        return F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kind).isNull()) == 0
+
+    if not df.columns:
+        return df
+    checks = [fits(c, kind).alias(f"{i}_{kind}") for i, c in enumerate(df.columns) for kind in KINDS]
+    filled = [F.count(F.col(f"`{c}`")).alias(f"{i}_n") for i, c in enumerate(df.columns)]
+    row = df.agg(*checks, *filled).first()
+
+    def typed(i: int, c: str) -> Column:
+        kind = next((k for k in KINDS if row[f"{i}_n"] and row[f"{i}_{k}"]), None)
+        return F.col(f"`{c}`").try_cast(kind).alias(c) if kind else F.col(f"`{c}`")
+
+    return df.select(*[typed(i, c) for i, c in enumerate(df.columns)])
+
+
 def load_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
-    """One CSV (broken lines dropped) or Parquet table, optionally its first ``rows`` rows."""
+    """One CSV (lines with too many fields left out) or Parquet table, optionally its first ``rows`` rows."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "csv":
-        df = spark.read.option("header", True).option("mode", "DROPMALFORMED").option("encoding", "UTF-8").option(
-            "inferSchema", True
-        ).csv(path)
+        df = infer_types(_read_ragged(spark, path))
     elif kind == "parquet":
         df = spark.read.parquet(path)
     else:
@@ -167,10 +229,10 @@ def load_table(spark: SparkSession, path: str, rows: int | None = None) -> DataF
 
 
 def load_all_csvs(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Every CSV of a folder by stem, and a load log with the files that failed."""
+    """Every CSV of a folder by stem (a file, or a folder of parts named like one), and a load log with those that failed."""
     tables, log = {}, []
     if exists(spark, folder):
-        for info in list_files(spark, folder, recursive=False):
+        for info in list_children(spark, folder):
             try:
                 tables[info.stem] = load_table(spark, info.path)
                 log.append((info.stem, "loaded", len(tables[info.stem].columns), ""))
@@ -196,21 +258,15 @@ def discover_datasets(spark: SparkSession, root: str) -> DataFrame:
 
 
 def header_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Per CSV: columns, size and data rows (line breaks less the header), counted where the data is."""
-    files = list_files(spark, root)
-    described = spark.createDataFrame(
-        [(f.path, len(c := headers(spark, f.path)), c, f.size) for f in files],
-        "path string, n_cols int, cols array<string>, size_bytes long",
-    )
-    if not files:
-        return described.withColumn("n_rows", F.lit(None).cast("bigint"))
-    lines = spark.read.text([f.path for f in files]).groupBy(F.input_file_name().alias("_file")).agg(
-        F.count(F.lit(1)).alias("_lines")
-    )
-    decoded = lines.select(F.url_decode(F.regexp_replace("_file", "^file:/+", "file:/")).alias("path"), "_lines")
-    plain = described.withColumn("_p", F.regexp_replace("path", "^file:/+", "file:/"))
-    joined = plain.join(decoded.withColumnRenamed("path", "_p"), "_p", "left")
+    """Per CSV: columns, size and data rows (line breaks less the header), found where the data is."""
+    described = spark.createDataFrame([(f.path, f.size) for f in list_files(spark, root)], "path string, size_bytes long")
+    lines = first_lines(spark, root).withColumnRenamed("path", "_p")
+    joined = described.join(lines, F.regexp_replace("path", "^file:/+", "file:/") == F.col("_p"), "left")
+    # Names by the rules of CSV: a quoted name may hold commas and doubled quotes.
+    field = F.regexp_extract_all(F.concat(F.lit(","), F.ltrim("line", F.lit("\ufeff"))), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
+    names = F.transform(field, lambda c: F.replace(F.regexp_replace(c, '^"(.*)"$', "$1"), F.lit('""'), F.lit('"')))
+    names = F.when(F.coalesce(F.length("line"), F.lit(0)) > 0, names).otherwise(F.array().cast("array<string>"))
     return joined.select(
-        "path", "n_cols", "cols", "size_bytes",
-        F.greatest(F.lit(0), F.coalesce("_lines", F.lit(0)) - 1).cast("bigint").alias("n_rows"),
+        "path", F.size(names).alias("n_cols"), names.alias("cols"), "size_bytes",
+        F.greatest(F.lit(0), F.coalesce("n_lines", F.lit(0)) - 1).cast("bigint").alias("n_rows"),
     )

@@ -17,13 +17,12 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
 def write_panel(panel: DataFrame, path: str, partition: str | None = "season") -> None:
     """The panel as Parquet, one directory per season.
 
-    Rows are spread over all tasks by (season, player) first, so a season is written by many tasks and
-    still yields few, large files.
+    Rows are dealt by season and rebalanced by their measured size: small seasons share a task, large ones are
+    written by as many tasks as their size asks for.
     """
     writer = panel.write.mode("overwrite")
     if partition:
-        writer = panel.repartition(F.col(partition), F.pmod(F.xxhash64("player_id"), F.lit(64))).write.mode("overwrite")
-        writer = writer.partitionBy(partition)
+        writer = panel.hint("rebalance", partition).write.mode("overwrite").partitionBy(partition)
     writer.parquet(path)
 
 
