@@ -27,10 +27,10 @@ def test_lcs_is_exact():
         assert matching.lcs_length(a, b) == brute_lcs(a, b)
 
 
-@pytest.mark.parametrize("common,block", [(200, 20_000), (2, 7), (0, 5)])
+@pytest.mark.parametrize("common,block", [(1.0, 20_000), (0.3, 7), (0.0, 5)])
 def test_best_matches_equal_brute_force(spark, monkeypatch, common, block):
     monkeypatch.setattr(matching.scan_matches, "__defaults__", (3, block))
-    rng = random.Random(common)
+    rng = random.Random(block)
     first, last = ["bernardo", "joao", "luis", "marc", "eden"], ["silva", "hazard", "cancelo", "suarez", "stegen", "de jong"]
     players = [(i, f"{rng.choice(first)} {rng.choice(last)}{rng.choice(['', 's', ' jr'])}") for i in range(40)]
     names = [f"{rng.choice(last)} {rng.choice(first)}{rng.choice(['', 'x', 'zz'])}" for _ in range(30)] + ["Qqq", None]
@@ -50,6 +50,22 @@ def test_best_matches_equal_brute_force(spark, monkeypatch, common, block):
     assert {r["injury_name"] for r in got} == {n for n in names if n}
 
 
+def test_block_scores_equal_single_ones():
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcé \U0001f600") for _ in range(rng.randint(0, 70))) for _ in range(60)] + [""]
+    offers = matching.Offers(words)
+    for name in [*words[:20], "", "x" * 64, "ab" * 40]:
+        assert offers.scores(name).tolist() == [matching.similarity(name, w) for w in words]
+    assert matching.Offers([]).scores("a").tolist() == [] and matching.Offers([""]).scores("").tolist() == [100.0]
+
+
+def test_many_unlike_names_end(spark):
+    """Names that no filter settles: the scan alone has to be fast enough."""
+    names = spark.range(2000).select(F.concat(F.lit("qx "), F.md5(F.col("id").cast("string"))).alias("injury_name"))
+    players = spark.range(20_000).select(F.col("id").alias("player_id"), F.concat(F.lit("zu "), F.md5((F.col("id") + 7000).cast("string"))).alias("name"))
+    assert matching.best_matches(names, players).count() == 2000
+
+
 def test_reordered_tokens_score_100(spark):
     row = matching.best_matches(
         spark.createDataFrame([("Silva Bernardo",)], "injury_name string"),

@@ -6,10 +6,11 @@ of cost:
 1. equal sorted tokens: score 100, an equi join;
 2. names that can be settled by shared character pairs. If a candidate scores at least ``bar``, both strings
    share a minimum number of pairs, so one of the rarest pairs of the name must occur in the candidate
-   (prefix filter). A best score at or above the bar found this way is therefore the true best. Names with
-   only common pairs are not joined at all, so no group of a frequent pair is ever expanded;
+   (prefix filter). A best score at or above the bar found this way is therefore the true best. Names whose
+   pairs occur in too large a share of the candidates are not joined at all, so no group of a frequent pair is expanded;
 3. the rest: names and candidates are hashed into a grid of bounded cells, each cell emits only its best
-   candidate per name, and the partial bests are merged by an aggregate.
+   candidate per name, and the partial bests are merged by an aggregate. A cell scores a name against its whole
+   block with one machine word per candidate.
 
 Scores are 200 * LCS / (length + length).
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -32,7 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BATCH = 2_000
 BLOCK = 20_000
-COMMON_PAIR = 200
+COMMON_SHARE = 0.05  # of all candidates; names whose needed pairs occur in more of them are scanned
+WORD = 64  # characters of a name that one machine word holds
 
 
 def sorted_tokens(c: str):
@@ -57,9 +60,44 @@ def similarity(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / length if length else 100.0
 
 
+class Offers:
+    """Candidates as one matrix of character codes, scored against a name all at once.
+
+    The same bit-parallel table as :func:`lcs_length`, one machine word per candidate. Padding has no bits and changes nothing.
+    """
+
+    def __init__(self, keys: list[str]):
+        self.keys = keys
+        self.lengths = np.array([len(k) for k in keys], dtype=np.int64)
+        codes = np.array(keys, dtype=str).view(np.uint32).reshape(len(keys), -1) if any(keys) else np.zeros((len(keys), 0), np.uint32)
+        self.letters, self.codes = np.unique(codes, return_inverse=True)
+        self.codes = self.codes.reshape(codes.shape)
+
+    def scores(self, name: str, of: np.ndarray | slice = slice(None)) -> np.ndarray:
+        lengths = self.lengths[of]
+        if len(name) > WORD or "\0" in name:
+            return np.array([similarity(name, k) for k in np.array(self.keys, dtype=object)[of]])
+        where = np.zeros(len(self.letters), np.uint64)
+        for i, ch in enumerate(name):
+            at = np.searchsorted(self.letters, ord(ch))
+            if at < len(where) and self.letters[at] == ord(ch):
+                where[at] |= np.uint64(1 << i)
+        full = np.uint64((1 << len(name)) - 1)
+        row = np.full(len(lengths), full)
+        for column in self.codes[of].T:
+            hit = row & where[column]
+            row = ((row + hit) | (row - hit)) & full
+        both = len(name) + lengths
+        common = len(name) - np.bitwise_count(row).astype(np.int64)
+        return np.where(both > 0, 200.0 * common / np.maximum(both, 1), 100.0)
+
+
 @F.pandas_udf(T.DoubleType())
 def _pair_score(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
+    offers, out = Offers(b.tolist()), np.zeros(len(a))
+    for name, own in a.groupby(a).indices.items():
+        out[own] = offers.scores(name, own)
+    return pd.Series(out)
 
 
 def _pairs(c: str):
@@ -76,8 +114,11 @@ def _best(scored: DataFrame) -> DataFrame:
     ).select("name_key", "_b.match_score", "_b.candidate_key")
 
 
-def _rare_pairs(names: DataFrame, candidates: DataFrame, bar: float, common: int) -> tuple[DataFrame, DataFrame]:
-    """(names, candidates) keyed by pair, for names whose needed pairs are all uncommon among candidates."""
+def _rare_pairs(names: DataFrame, candidates: DataFrame, bar: float, common: float) -> tuple[DataFrame, DataFrame]:
+    """(names, candidates) keyed by pair, for names whose needed pairs together occur in a small share of the candidates.
+
+    The share is relative, so the same names are settled this way whatever the number of candidates.
+    """
     pairs = candidates.select("candidate_key", "place", F.explode(_pairs("candidate_key")).alias("pair"))
     frequency = pairs.groupBy("pair").agg(F.count(F.lit(1)).alias("_f"))
     owned = names.withColumn("_all", _pairs("name_key")).withColumn("_n", F.size("_all"))
@@ -94,7 +135,9 @@ def _rare_pairs(names: DataFrame, candidates: DataFrame, bar: float, common: int
         .groupBy("name_key", "_take")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_f", F.lit(0)).alias("f"), F.col("pair").alias("p")))).alias("_r"))
         .withColumn("_r", F.slice("_r", 1, F.col("_take").cast("int")))
-        .filter(F.element_at("_r", -1).getField("f") <= common)
+        .withColumn("_met", F.aggregate("_r", F.lit(0).cast("bigint"), lambda s, r: s + r["f"]))
+        .crossJoin(F.broadcast(candidates.agg(F.count(F.lit(1)).alias("_candidates"))))  # one row
+        .filter(F.col("_met") <= common * F.col("_candidates"))
     )
     return ranked.select("name_key", F.explode("_r.p").alias("pair")), pairs
 
@@ -102,24 +145,19 @@ def _rare_pairs(names: DataFrame, candidates: DataFrame, bar: float, common: int
 def _scan_cell(names: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     """Best candidate of one block for each name of one batch."""
     out = []
-    offers = list(zip(candidates["candidate_key"], candidates["place"]))
-    for name in names["name_key"]:
-        best: tuple[float, int, str] | None = None
-        for key, place in offers:
-            both = len(name) + len(key)
-            # Length alone bounds the score; most candidates end here.
-            if best and both and 200.0 * min(len(name), len(key)) / both < best[0]:
-                continue
-            offer = (similarity(name, key), -int(place), key)
-            if best is None or offer > best:
-                best = offer
-        if best:
-            out.append((name, best[0], -best[1], best[2]))
+    # In order of place, so that the first of the best scores is the one that comes first.
+    candidates = candidates.sort_values("place")
+    keys, places = candidates["candidate_key"].tolist(), candidates["place"].tolist()
+    offers = Offers(keys)
+    for name in names["name_key"] if keys else ():
+        scores = offers.scores(name)
+        at = int(scores.argmax())
+        out.append((name, float(scores[at]), places[at], keys[at]))
     return pd.DataFrame(out, columns=["name_key", "match_score", "place", "candidate_key"])
 
 
 def best_matches(
-    names: DataFrame, players: DataFrame, name: str = "injury_name", bar: float = 90.0, common: int = COMMON_PAIR
+    names: DataFrame, players: DataFrame, name: str = "injury_name", bar: float = 90.0, common: float = COMMON_SHARE
 ) -> DataFrame:
     """injury_name, candidate_name, match_score, player_id for every non-null name.
 
