@@ -41,6 +41,38 @@ def near(docs, distance=4):
     return [(i, f"{f:016x}", least[at[f]]) for i, f in prints]
 
 
+def similar(docs, distance):
+    """(id, component) by long fingerprints: five words, every shingle once; a segment that differs in one bit at most, and the distance."""
+    even, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    prints = []
+    for i, t in docs:
+        words = [w for w in re.split("[\x20\x09-\x0d]+", (t or "").translate(UPPER)) if w]
+        shingles = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        counts = np.zeros((8, 64), int)
+        for s in shingles:
+            for k in range(8):
+                z = (xxhash.xxh64_intdigest(s.encode(), 42) + (k + 1) * even) & mask
+                z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+                z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+                z ^= z >> 31
+                counts[k] += [z >> b & 1 for b in range(64)]
+        prints.append((i, tuple(sum(1 << b for b in range(64) if 2 * c[b] > len(shingles)) for c in counts)))
+    return [(i, c) for (i, _), c in zip(prints, linked([p for _, p in prints], distance))]
+
+
+def linked(prints, distance):
+    """The component of every long fingerprint (tuples of 8 words), named by a place in the list."""
+    words = np.array(prints, dtype=np.uint64)
+    root = np.arange(len(words))
+    for i, own in enumerate(words):
+        differing = words ^ own
+        near = np.bitwise_count(differing).sum(axis=1) <= distance
+        segments = np.stack([differing >> np.uint64(first) & np.uint64((1 << 21) - 1) for first in (0, 21)])
+        near &= (np.bitwise_count(segments) <= 1).any(axis=(0, 2))
+        root[np.isin(root, np.unique(root[near]))] = root[i]
+    return root.tolist()
+
+
 def exact(docs):
     groups = defaultdict(list)
     for i, t in docs:

@@ -126,6 +126,49 @@ def test_links_are_whole(spark, bucket):
     assert simhash.links(df, bucket=bucket).count() <= 45 * len(fps)
 
 
+@pytest.mark.parametrize("cell", [1 << 17, 40])
+def test_similar_links_are_whole(spark, cell):
+    """Tight and loose groups of long fingerprints beside strangers, also in split buckets and crowded cells."""
+    rng = np.random.default_rng(5)
+    made = [int.from_bytes(rng.bytes(64), "little") for _ in range(150)] + [0, (1 << 512) - 1]
+    for center, steps in ((made[0], 2), (made[1], 30), (made[2], 60)):
+        at = center
+        for _ in range(150):
+            for b in rng.choice(512, rng.integers(1, steps), replace=False):
+                at ^= 1 << int(b)
+            made.append(at)
+            at = at if rng.random() < 0.3 else center
+    made = sorted({x.to_bytes(64, "little") for x in made})
+    distance = simhash.similar_distance(0.8)
+    edges = simhash.similar_links(spark.createDataFrame([(x,) for x in made], "fp binary").repartition(4), distance, cell)
+    got = {}
+    for r in simhash.components(edges).collect():
+        got.setdefault(bytes(r["root"]), {bytes(r["root"])}).add(bytes(r["node"]))
+    want = {}
+    for x, c in zip(made, brute.linked([np.frombuffer(x, "<u8") for x in made], distance)):
+        want.setdefault(c, set()).add(x)
+    assert {frozenset(x) for x in got.values()} == {frozenset(x) for x in want.values() if len(x) > 1}
+
+
+def test_similar_stage(spark):
+    """Copies with changed words go, less alike texts stay; rows without an id, repeated rows and ids, clashing columns."""
+    rng = np.random.default_rng(11)
+    words = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    few, many = list(words), list(words)
+    for k in (50, 200, 350):
+        few[k] = "changed"
+    for k in range(5, 400, 12):
+        many[k] = "changed"
+    text = " ".join(words)
+    given = [(9, text), (3, " ".join(few)), (5, " ".join(many)), (7, text), (7, "another text under this id"), (7, "another text under this id"),
+             (None, text), (None, "only here, without an id"), (1, None), (2, ""), (4, " \n"), (6, "short"), (8, "SHORT")]
+    found = corpus_pipeline.near_dedup(spark, frame(spark, given, clash=True), "")
+    assert found.columns == ["doc_id", "text", *CLASH]
+    kept = [(r["doc_id"], (r["text"] or "")[:7]) for r in found.collect()]
+    assert sorted(kept, key=repr) == sorted([(3, text[:7]), (5, text[:7]), (7, "another"), (None, "only he"), (1, ""), (6, "short")], key=repr)
+    assert corpus_pipeline.near_dedup(spark, frame(spark, []), "").count() == 0
+
+
 @lru_cache
 def encoders(name):
     ranks = brute.ranks(name)

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from tests.llm import brute
-from weekgrid.llm import pii, quality
+from weekgrid.llm import pii, quality, simhash
 
 FOLDER = os.environ.get("LLM_FOLDER", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not mounted")
@@ -29,7 +29,10 @@ def test_pipeline(spark):
     model = quality.fit(read("documents"), read("labels"))
     docs = [(i, t) for i, t in docs if quality.score_text(model, t) >= corpus_pipeline.THRESHOLD]
     docs = kept_lines(docs)
-    stays = {c for _, _, c in brute.near(docs)}
+    least = {}
+    for i, c in brute.similar(docs, simhash.similar_distance(0.8)):
+        least[c] = min(i, least.get(c, i))
+    stays = set(least.values())
     docs = [(i, t) for i, t in docs if i in stays]
     spans = pii.personal_spans(spark.createDataFrame(docs, "doc_id long, text string"))
     by = {r["doc_id"]: sorted((s["start"], s["end"], s["kind"]) for s in r["spans"]) for r in spans.collect()}
