@@ -9,6 +9,7 @@ from ..operators.features import KEY, WEEK
 from ..operators.risk import Settings
 from ..plans import jobs
 from ..session import stored
+from .audit_queries import metrics_sql
 from .panel_queries import TEST_FROM, VALID_FROM, bigints, panel, rounded
 from .registry import query
 
@@ -183,23 +184,38 @@ def shuffled_labels(t):
     return bigints(risk.shuffled_labels(scored(t), 9).select(*risk.ROW_KEY, "target"))
 
 
-@query("C3_audit_evaluation")
+@query("C3_audit_evaluation", metrics_sql("label_validity", f"""
+SELECT (SELECT count(*) FROM strict_panel WHERE target = 1 AND week_start >= DATE '{TEST_FROM}') AS checked,
+  count(*) AS matched, min(d) AS lo, max(d) AS hi, avg(d) AS mean
+FROM (SELECT b.player_id, b.week_start, min(injury_start) - b.week_start AS d
+  FROM strict_panel b JOIN serious_injuries i ON i.player_id = b.player_id
+    AND injury_start > week_start AND injury_start <= week_start + 30
+  WHERE target = 1 AND week_start >= DATE '{TEST_FROM}' GROUP BY 1, 2)
+""", {"checked": "checked", "errors": "checked - matched", "delta_min": "lo", "delta_max": "hi", "delta_mean": "mean"},
+    "checked = matched") + " UNION ALL " + metrics_sql("history_recompute", """
+SELECT count(*) AS checked FROM history WHERE injuries_last_365d > 0
+""", {"checked": "checked", "errors": "0"}, "true"))
 def audit_evaluation(t):
+    parts = jobs.frame_audits(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), stored(frame(t).select(*risk.ROW_KEY, "target", "split")), t.injuries)
+    return rounded(parts["label_horizon"].unionByName(parts["history"]), "value")
+
+
+@query("C3_audit_evaluation_parts")
+def audit_evaluation_parts(t):
     split, names = written_frame(t)
-    parts = jobs.audit_evaluation(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), split, names, t.injuries, QUICK)
-    return parts["label_horizon"].unionByName(parts["history"])
+    return jobs.as_rows(jobs.audit_evaluation(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), split, names, t.injuries, QUICK))
 
 
 @query("C4_train_report")
 def train_report(t):
     split, names = written_frame(t)
-    return jobs.train_report(split, names, QUICK, replicates=200)["intervals"]
+    return jobs.as_rows(jobs.train_report(split, names, QUICK))
 
 
 @query("C5_quick_evaluation")
 def quick_evaluation(t):
     split, names = written_frame(t)
-    return jobs.quick_evaluation(split, names, QUICK)["metrics"]
+    return jobs.as_rows(jobs.quick_evaluation(split, names, QUICK))
 
 
 LEGACY_FEATURES = ["minutes_1w", "minutes_4w", "matches_1w", "acwr_minutes"]
@@ -223,12 +239,12 @@ def logistic_baseline(t):
 @query("M15_tree_baseline")
 def tree_baseline(t):
     rows = legacy_frame(t)
-    model = risk.tree_baseline(rows.filter("is_test = 0"), LEGACY_FEATURES, trees=20)
+    model = risk.tree_baseline(rows.filter("is_test = 0"), LEGACY_FEATURES, trees=100)
     return risk.baseline_metrics(rows.filter("is_test = 1"), model, LEGACY_FEATURES, "boosted_trees")
 
 
 @query("M16_tree_importances")
 def tree_importances(t):
     rows = legacy_frame(t)
-    model = risk.tree_baseline(rows.filter("is_test = 0"), LEGACY_FEATURES, trees=20)
+    model = risk.tree_baseline(rows.filter("is_test = 0"), LEGACY_FEATURES, trees=100)
     return risk.tree_importances(t.spark, model, LEGACY_FEATURES)

@@ -585,7 +585,7 @@ def panel_inspection(t):
 def legacy_pipeline(t):
     spelled = t.raw_injuries.withColumnsRenamed({"injury_start": "start", "injury_end": "end", "days_out": "duration"})
     named = spelled.join(t.players.select(KEY, F.col("name").alias("player_name")), KEY).drop(KEY)
-    return jobs.legacy_metrics(t.appearances, t.games, named, t.players, max_iter=50, trees=10)
+    return jobs.legacy_metrics(t.appearances, t.games, named, t.players)
 
 
 @query("C11_stepwise_panel", """
