@@ -388,10 +388,13 @@ def feature_catalog(t):
     return rounded(bigints(table), "missing_pct", "mean", "std", "p05", "p50", "p95")
 
 
-@query("D10_prevalence_by_season", """
+BY_SEASON = """
 SELECT season::BIGINT AS season, count(*)::BIGINT AS weeks, round(avg(target) * 100, 6) AS rate_pct
 FROM panel WHERE label_known = 1 AND ineligible = 0 GROUP BY 1
-""")
+"""
+
+
+@query("D10_prevalence_by_season", BY_SEASON)
 def prevalence_by_season(t):
     return rounded(bigints(profile.prevalence_by(cleaning.known_eligible_rows(panel(t)), "season")), "rate_pct")
 
@@ -404,15 +407,18 @@ CASE WHEN position IS NULL THEN 'Unknown' WHEN lower(position) LIKE '%goalkeeper
 """
 
 
-@query("D11_prevalence_by_position", f"""
+BY_POSITION = f"""
 SELECT {POS_GROUP} AS pos_group, count(*)::BIGINT AS weeks, round(avg(target) * 100, 6) AS rate_pct
 FROM panel WHERE label_known = 1 AND ineligible = 0 GROUP BY 1
-""")
+"""
+
+
+@query("D11_prevalence_by_position", BY_POSITION)
 def prevalence_by_position(t):
     return rounded(profile.prevalence_by_position(cleaning.known_eligible_rows(panel(t))), "rate_pct")
 
 
-@query("D12_prevalence_by_load", """
+BY_LOAD = """
 SELECT decile::BIGINT AS decile, printf('%.0f-%.0f', min(m), max(m)) AS range, count(*)::BIGINT AS weeks,
   round(avg(target) * 100, 6) AS rate_pct
 FROM (
@@ -422,7 +428,10 @@ FROM (
     FROM panel WHERE label_known = 1 AND ineligible = 0 AND minutes_last_4w > 0)
   WHERE label_known = 1 AND ineligible = 0)
 GROUP BY 1
-""")
+"""
+
+
+@query("D12_prevalence_by_load", BY_LOAD)
 def prevalence_by_load(t):
     rows = stored(cleaning.known_eligible_rows(panel(t)).select("minutes_last_4w", "target"))
     return rounded(bigints(profile.prevalence_by_load(rows)), "rate_pct")

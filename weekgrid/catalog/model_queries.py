@@ -143,10 +143,13 @@ def block_bootstrap(t):
     return rounded(bigints(out), "average_precision", "pr_auc_trap", "precision_top")
 
 
-@query("M10_block_bootstrap_intervals")
+@query("M10_block_bootstrap_intervals", " UNION ALL ".join(f"""
+SELECT '{metric}' AS metric, round(avg({metric}), 6) AS mean, round(quantile_cont({metric}, 0.025), 6) AS lower,
+  round(quantile_cont({metric}, 0.975), 6) AS upper FROM ({bootstrap_sql("player_id", 1000)})
+""" for metric in ("pr_auc_trap", "precision_top")))
 def block_bootstrap_intervals(t):
-    replicates = risk.bootstrap_metrics(scored(t), "target", "p", KEY, 1000)
-    return risk.intervals(replicates, ["pr_auc_trap", "precision_top"])
+    replicates = rounded(risk.bootstrap_metrics(scored(t), "target", "p", KEY, 1000), "pr_auc_trap", "precision_top")
+    return rounded(risk.intervals(replicates, ["pr_auc_trap", "precision_top"]), "mean", "lower", "upper")
 
 
 @query("M2_M3_calibrated_risk_model")

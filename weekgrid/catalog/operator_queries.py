@@ -14,6 +14,7 @@ from ..operators.features import KEY, WEEK
 from ..plans import jobs
 from ..session import shared_dir, stored
 from ..sources import readers, sinks
+from .audit_queries import BY_LOAD, BY_POSITION, BY_SEASON
 from .panel_queries import bigints, cohort, inputs, panel, rounded
 from .registry import query
 
@@ -561,9 +562,13 @@ def raw_profile(t):
     return jobs.profile_table(t.raw_injuries, "injuries")
 
 
-@query("C7_panel_slices")
+@query("C7_panel_slices", f"""
+SELECT 'season' AS slice, season::VARCHAR AS value, weeks, rate_pct FROM ({BY_SEASON})
+UNION ALL SELECT 'position', pos_group, weeks, rate_pct FROM ({BY_POSITION})
+UNION ALL SELECT 'load', range, weeks, rate_pct FROM ({BY_LOAD})
+""")
 def panel_slices(t):
-    return jobs.panel_slices(stored(panel(t)))
+    return rounded(bigints(jobs.panel_slices(stored(panel(t)))), "rate_pct")
 
 
 @query("C8_join_audit", """
