@@ -15,7 +15,8 @@ enumerates the Hamming ball around each of them to fetch table matches, whose co
 Connected components run on distinct fingerprints by alternating large-star and small-star steps; every step is
 written to the shared folder.
 
-``similar_documents`` is the same method for a stated similarity of word shingles. 64 bits are too few to tell 0.8 from 0.7, so
+``similar_links`` is the same method for a stated similarity of word shingles, as an estimate; the pipeline's stage is exact
+(``jaccard``). 64 bits are too few to tell 0.8 from 0.7, so
 its fingerprints are ``WORDS`` times as long and count every distinct shingle once; the share of differing bits estimates the
 angle between two shingle sets, which gives the distance of the asked similarity. That distance has two standard errors to
 either side of it; one of them is added, so that most pairs of exactly that similarity link. Segments have ``LANE`` bits and a
@@ -268,14 +269,6 @@ def long_fingerprint(text: str | None, shingle: int = SIMILAR_SHINGLE) -> bytes:
     return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
 
 
-def long_column(text: Column, shingle: int = SIMILAR_SHINGLE) -> Column:
-    @F.arrow_udf("binary")
-    def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([long_fingerprint(t.as_py(), shingle) for t in texts], pa.binary())
-
-    return prints(text.cast("string"))
-
-
 def _words(prints: pa.Array) -> np.ndarray:
     """The words of long fingerprints, a row each."""
     return np.frombuffer(b"".join(prints.to_pylist()), "<u8").reshape(-1, WORDS)
@@ -423,18 +416,3 @@ def similar_links(prints: DataFrame, distance: int, cell: int = CELL) -> DataFra
     rows = rows.join(F.broadcast(stored(crowded)), "key", "left")
     rows = rows.select("key", F.explode(F.when(parts.isNull(), F.array(F.lit(0))).otherwise(pairs)).alias("part"), "fp")
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(_similar_links(distance), "a binary, b binary")
-
-
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE,
-    cell: int = CELL,
-) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), fp and component, the least fingerprint reachable, for every row of ``docs``.
-
-    Texts without words have the fingerprint zero and are one component with each other.
-    """
-    text = F.col(text_col).cast("string")
-    prints = stored(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), long_column(text, shingle).alias("fp")))
-    found = components(similar_links(stored(prints.select("fp").distinct()), similar_distance(similarity), cell))
-    named = prints.join(found, F.col("fp") == F.col("node"), "left")
-    return named.select("doc_id", "text_hash", "fp", F.coalesce("root", "fp").alias("component"))
