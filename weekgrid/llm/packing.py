@@ -11,14 +11,14 @@ are updated and the next round begins. Each match is an interval of ranks that m
 at one offset. The pieces then find their interval in parallel, by length and rank. The result is that of
 best-fit decreasing piece by piece, while the state of all rounds is bounded by the sequence length.
 
-Defined cases: a null text has only the closing token; rows that share an id are packed each for itself; no rows give none.
+Defined cases: the name of an added token in a text is that token, as the ``tokenizers`` library reads it; a null text has only the closing token; rows that share an id are packed each for itself; no rows give none.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,7 @@ from weekgrid.session import stored
 
 CAPACITY = 1024
 CLOSING = 2  # the id behind each document
+ADDED = {"<|endoftext|>": 50256}  # the added tokens of byte_bpe_50k.json, which the rank file doesn't hold
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -39,7 +40,7 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 def _tokenizer(path: str, pattern: str):
     with open(path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -56,7 +57,7 @@ def document_pieces(
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian bytes."""
 
     def pieces(batches):
-        encode = _tokenizer(path, pattern).encode_ordinary
+        encode = partial(_tokenizer(path, pattern).encode, allowed_special="all", disallowed_special=())
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
                 ids = np.array([*encode(text.as_py() or ""), CLOSING], dtype="<u4")
