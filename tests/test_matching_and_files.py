@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weekgrid.functions import scalars
 from weekgrid.operators import matching
+from weekgrid.plans import steps
 from weekgrid.sources import readers, sinks
 
 
@@ -135,14 +136,88 @@ def test_stage_store(spark, tmp_path):
     stages = sinks.StageStore(spark, str(tmp_path / "s"))
     with pytest.raises(FileNotFoundError):
         stages.load("a")
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(3)
-
-    assert stages.get("a", build).count() == 3 and stages.get("a", build).count() == 3
-    assert len(calls) == 1
+    assert stages.get("a", lambda: spark.range(3)).count() == 3 and stages.get("a", lambda: spark.range(3)).count() == 3
+    assert stages.built == ["a"] and stages.reused == ["a"]
+    assert stages.get("a", lambda: spark.range(4)).count() == 4 and stages.load("a").count() == 4
+    # Lambda variables and expression ids get other names in every plan.
+    twice = lambda: spark.range(3).select(F.transform(F.array("id"), lambda x: x + 1).alias("v"))
+    assert sinks.fingerprint(twice()) == sinks.fingerprint(twice()) != sinks.fingerprint(spark.range(3).select(F.transform(F.array("id"), lambda x: x + 2).alias("v")))
+    # Rows in memory can't be told apart by their plan.
+    rows = lambda v: spark.createDataFrame([(v,)], "v int")
+    assert [stages.get("m", lambda v=v: rows(v)).first()["v"] for v in (1, 2, 2)] == [1, 2, 2]
+
+
+def test_changed_input_rebuilds_what_hangs_on_it(spark, tmp_path):
+    def write(name, rows):
+        spark.createDataFrame(rows, "k int, v int").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / name))
+
+    def run():
+        stages = sinks.StageStore(spark, str(tmp_path / "stages"))
+        left = stages.get("left", lambda: spark.read.parquet(str(tmp_path / "l")).filter("v > 0"))
+        right = stages.get("right", lambda: spark.read.parquet(str(tmp_path / "r")))
+        both = stages.get("both", lambda: left.join(right.withColumnRenamed("v", "w"), "k"))
+        total = stages.get("total", lambda: both.groupBy("k").sum("w"))
+        return stages.built, sorted((r[0], r[1]) for r in total.collect())
+
+    write("l", [(1, 1), (2, 0)])
+    write("r", [(1, 5), (2, 6)])
+    assert run() == (["left", "right", "both", "total"], [(1, 5)])
+    assert run() == ([], [(1, 5)])
+    write("r", [(1, 7), (2, 6), (1, 1)])
+    assert run() == (["right", "both", "total"], [(1, 8)])
+    assert not [p for p in (tmp_path / "stages").iterdir() if p.name.startswith(".staged")]
+
+
+def test_half_written_stage_is_not_there(spark, tmp_path):
+    files = sinks.Published(spark, str(tmp_path))
+
+    def broken(path):
+        spark.range(2).write.parquet(path)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        files.publish("x/key", broken)
+    assert not files.exists("x/key")
+    files.publish("x/key", spark.range(2).write.parquet)
+    files.publish("x/key", spark.range(5).write.parquet)  # who comes second leaves the first result
+    assert spark.read.parquet(str(tmp_path / "x/key")).count() == 2
+
+
+def test_steps(spark, tmp_path):
+    """Eighteen steps over files; a changed transfer file touches its own cleaning only, a changed interval file what hangs on it."""
+    days = lambda n: f"2024-{1 + n // 28:02d}-{1 + n % 28:02d}"
+    back, other = tmp_path / "back", tmp_path / "other"
+    tables = {
+        back / "players.csv": ["player_id,name", "1,A", "2,B"],
+        back / "competitions.csv": ["competition_id,name", "GB1,x", "XX,y"],
+        back / "games.csv": ["game_id,competition_id,season,date,home_club_id,away_club_id", *(f"{g},{'GB1' if g % 4 else 'XX'},2024,{days(g * 3)},10,11" for g in range(40))],
+        back / "appearances.csv": ["appearance_id,game_id,player_id,player_club_id,player_current_club_id,date,competition_id,yellow_cards,red_cards,goals,assists,minutes_played",
+                                   *(f"{g}_{p},{g},{p},10,10,{days(g * 3)},GB1,0,0,0,0,90" for g in range(40) for p in (1, 2))],
+        other / "injuries.csv": ["player_id,injury_reason,from_date,end_date,days_missed", "1,knee,2024-02-20,2024-03-20,29"],
+        other / "transfers.csv": ["player_id,transfer_date,from_team_id", "1,2023-07-01,5"],
+        other / "values.csv": ["player_id,date_unix,value", "1,2023-07-01,5"],
+    }
+    for path, lines in tables.items():
+        path.parent.mkdir(exist_ok=True)
+        path.write_text("\n".join(lines) + "\n")
+    sources = steps.Sources(spark, str(back), str(other))
+
+    def run():
+        store = sinks.StageStore(spark, str(tmp_path / "store"))
+        panel = steps.Runner(sources, store).run_all()["panel"]
+        return {s.split("/")[0][5:] for s in store.built}, {(r["player_id"], str(r["week_start"])): r["target"] for r in panel.collect()}
+
+    with pytest.raises(FileNotFoundError, match="3_3"):
+        steps.Runner(sources, sinks.StageStore(spark, str(tmp_path / "store"))).run("4_2")
+    built, first = run()
+    assert len(steps.STEPS) == 18 and built == set(steps.STEPS)
+    assert first[(1, "2024-02-19")] == 1 and first[(2, "2024-02-19")] == 0
+    assert run() == (set(), first)
+    (other / "transfers.csv").write_text("player_id,transfer_date,from_team_id\n1,2022-07-01,5\n")
+    assert run() == ({"1_4", "2_2"}, first)
+    (other / "injuries.csv").write_text("player_id,injury_reason,from_date,end_date,days_missed\n2,knee,2024-02-20,2024-03-20,29\n")
+    built, second = run()
+    assert built == {"1_4", "2_1", "2_5", "5_1", "5_3"} and second[(1, "2024-02-19")] == 0 and second[(2, "2024-02-19")] == 1
 
 
 def test_head_records_keep_nulls(spark):

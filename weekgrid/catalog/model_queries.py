@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, grid, features, ranking, risk
 from ..operators.features import KEY, WEEK
-from ..operators.risk import Settings
 from ..plans import jobs
-from ..session import stored
+from ..sources import artifacts
+from ..session import shared_dir
 from .audit_queries import metrics_sql
-from .panel_queries import TEST_FROM, VALID_FROM, bigints, panel, rounded
+from .panel_queries import TEST_FROM, VALID_FROM, bigints, kept_panel, rounded, stages
 from .registry import query
 
-# A short run of the same model: rounds are a parameter, the rows are all rows.
-QUICK = Settings(max_iter=10, max_depth=4, patience=0)
-
 SCORED = f"""
 SELECT player_id, week_start, season, target,
   least(minutes_last_4w + 20 * injuries_last_365d, 400) / 400.0::DOUBLE AS p,
@@ -25,24 +24,25 @@ FROM strict_panel WHERE week_start >= DATE '{TEST_FROM}'
 
 
 def scored(t):
-    rows = cleaning.with_split(cleaning.strict_rows(panel(t)), VALID_FROM, TEST_FROM).filter(F.col("split") == "test")
+    rows = cleaning.with_split(cleaning.strict_rows(kept_panel(t)), VALID_FROM, TEST_FROM).filter(F.col("split") == "test")
     load = F.col("minutes_last_4w") + 20 * F.col("injuries_last_365d")
-    return stored(rows.select(
+    return stages(t).get("scored_weeks", lambda: rows.select(
         KEY, WEEK, "season", "target", (F.least(load, F.lit(400.0)) / 400).alias("p"), risk.tie_key().alias("tie")
     ))
 
 
 def frame(t):
-    rows = cleaning.strict_rows(panel(t))
+    rows = cleaning.strict_rows(kept_panel(t))
     dummies = cleaning.with_dummies(rows, cleaning.position_categories(t.profiles))
     return cleaning.with_split(dummies, VALID_FROM, TEST_FROM)
 
 
 def written_frame(t):
-    """The model frame, written once to the shared folder for the passes that read it."""
+    """The model frame as a stage, computed once for each state of the inputs, and its features."""
     split = frame(t)
     names = cleaning.feature_columns(split)
-    return stored(split.select(*risk.ROW_KEY, "target", "split", *[F.col(f"`{c}`") for c in names])), names
+    wanted = split.select(*risk.ROW_KEY, "target", "split", *[F.col(f"`{c}`") for c in names])
+    return stages(t).get("model_frame", lambda: wanted), names
 
 
 @query("M1_class_weights", """
@@ -51,7 +51,7 @@ FROM strict_panel, (SELECT count(*) FILTER (target = 0)::DOUBLE AS neg, count(*)
 GROUP BY 1
 """)
 def class_weights(t):
-    weighted = risk.class_weights(cleaning.strict_rows(panel(t)).select("target"))
+    weighted = risk.class_weights(cleaning.strict_rows(kept_panel(t)).select("target"))
     out = weighted.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight"))
     return rounded(bigints(out), "weight", digits=4)
 
@@ -101,7 +101,7 @@ SELECT CASE WHEN week_start < DATE '{VALID_FROM}' THEN 'train' WHEN week_start <
 FROM strict_panel GROUP BY 1
 """)
 def split_manifest(t):
-    split = cleaning.with_split(cleaning.strict_rows(panel(t)), VALID_FROM, TEST_FROM)
+    split = cleaning.with_split(cleaning.strict_rows(kept_panel(t)), VALID_FROM, TEST_FROM)
     return rounded(risk.split_manifest(split), "prevalence")
 
 
@@ -155,27 +155,31 @@ def block_bootstrap_intervals(t):
 @query("M2_M3_calibrated_risk_model")
 def calibrated_risk_model(t):
     split, names = written_frame(t)
-    return risk.evaluate(split, risk.fit_risk(split, names, QUICK))
+    return risk.evaluate(split, artifacts.kept_fit(split, names))
 
 
 @query("M11_permutation_importance")
 def permutation_importance(t):
     split, names = written_frame(t)
-    model = risk.fit_booster(split.filter(F.col("split") == "train"), names, QUICK)
+    model = artifacts.kept_fit(split, names).model
     return risk.permutation_importance(split.filter(F.col("split") == "valid"), model, names, sample=5000, repeats=5)
 
 
 @query("M13_player_risk")
 def player_risk(t):
     split, names = written_frame(t)
-    fit = risk.fit_risk(split, names, QUICK)
-    return risk.score_player(panel(t), fit, cleaning.position_categories(t.profiles), 7)
+    categories = cleaning.position_categories(t.profiles)
+    # Scored from the files of the model, as another session would.
+    folder = f"{shared_dir(t.spark)}/player-risk"
+    path = artifacts.save_fit(t.spark, folder, uuid.uuid4().hex, artifacts.kept_fit(split, names), categories)
+    kept = artifacts.load_fit(t.spark, path)
+    return risk.score_player(kept_panel(t), kept.fit, kept.categories, 7)
 
 
 @query("Q9_negative_control")
 def negative_control(t):
     split, names = written_frame(t)
-    return risk.negative_control(split, names, QUICK)
+    return risk.negative_control(split, names, fitter=artifacts.kept_fit)
 
 
 @query("Q9_shuffled_labels", f"""
@@ -199,26 +203,26 @@ FROM (SELECT b.player_id, b.week_start, min(injury_start) - b.week_start AS d
 SELECT count(*) AS checked FROM history WHERE injuries_last_365d > 0
 """, {"checked": "checked", "errors": "0"}, "true"))
 def audit_evaluation(t):
-    parts = jobs.frame_audits(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), stored(frame(t).select(*risk.ROW_KEY, "target", "split")), t.injuries)
+    parts = jobs.frame_audits(kept_panel(t).select(KEY, WEEK, "injuries_last_365d"), written_frame(t)[0].select(*risk.ROW_KEY, "target", "split"), t.injuries)
     return rounded(parts["label_horizon"].unionByName(parts["history"]), "value")
 
 
 @query("C3_audit_evaluation_parts")
 def audit_evaluation_parts(t):
     split, names = written_frame(t)
-    return jobs.as_rows(jobs.audit_evaluation(stored(panel(t).select(KEY, WEEK, "injuries_last_365d")), split, names, t.injuries, QUICK))
+    return jobs.as_rows(jobs.audit_evaluation(kept_panel(t).select(KEY, WEEK, "injuries_last_365d"), split, names, t.injuries, fit=artifacts.kept_fit))
 
 
 @query("C4_train_report")
 def train_report(t):
     split, names = written_frame(t)
-    return jobs.as_rows(jobs.train_report(split, names, QUICK))
+    return jobs.as_rows(jobs.train_report(split, names, fit=artifacts.kept_fit))
 
 
 @query("C5_quick_evaluation")
 def quick_evaluation(t):
     split, names = written_frame(t)
-    return jobs.as_rows(jobs.quick_evaluation(split, names, QUICK))
+    return jobs.as_rows(jobs.quick_evaluation(split, names, fit=artifacts.kept_fit))
 
 
 LEGACY_FEATURES = ["minutes_1w", "minutes_4w", "matches_1w", "acwr_minutes"]

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import cleaning, explore, grid, joins, matching, profile, sampling
 from ..operators.features import KEY, WEEK
-from ..plans import jobs
+from ..plans import jobs, steps
 from ..session import shared_dir, stored
 from ..sources import readers, sinks
 from .audit_queries import BY_LOAD, BY_POSITION, BY_SEASON
-from .panel_queries import bigints, cohort, inputs, panel, rounded
+from .panel_queries import bigints, cohort, inputs, kept_panel, panel, rounded
 from .registry import query
 
 
@@ -554,7 +554,7 @@ def panel_job_manifest(t):
 
 @query("C2_verify_panel")
 def verify_panel(t):
-    return jobs.verify_panel(stored(panel(t)), t.appearances, t.competitions, t.injuries, t.profiles)
+    return jobs.verify_panel(kept_panel(t), t.appearances, t.competitions, t.injuries, t.profiles)
 
 
 @query("C6_raw_profile")
@@ -568,7 +568,7 @@ UNION ALL SELECT 'position', pos_group, weeks, rate_pct FROM ({BY_POSITION})
 UNION ALL SELECT 'load', range, weeks, rate_pct FROM ({BY_LOAD})
 """)
 def panel_slices(t):
-    return rounded(bigints(jobs.panel_slices(stored(panel(t)))), "rate_pct")
+    return rounded(bigints(jobs.panel_slices(kept_panel(t))), "rate_pct")
 
 
 @query("C8_join_audit", """
@@ -593,20 +593,71 @@ def legacy_pipeline(t):
     return jobs.legacy_metrics(t.appearances, t.games, named, t.players)
 
 
-@query("C11_stepwise_panel", """
-SELECT competition_id, count(*)::BIGINT AS n, sum(not_censored)::BIGINT AS observed FROM (
-  SELECT competition_id, CASE WHEN week_start + 30 <= (SELECT max(injury_start) FROM injuries) THEN 1 ELSE 0 END AS not_censored FROM (
-    SELECT *, row_number() OVER (PARTITION BY player_id, week_start ORDER BY season, competition_id) AS rn FROM (
-      SELECT s.player_id, s.competition_id, s.season,
-        unnest(generate_series(b.min_week, b.max_week, INTERVAL 7 DAY))::DATE AS week_start
-      FROM (SELECT DISTINCT player_id, g.competition_id, g.season FROM appearances a JOIN games g ON a.game_id = g.game_id
-            WHERE g.competition_id IN ('GB1', 'ES1')) s
-      JOIN calendar_bounds b ON b.competition_id = s.competition_id AND b.season = s.season))
-  WHERE rn = 1) GROUP BY 1
-""")
+# The listed leagues' grid and what hangs on it, as the steps build it.
+STEPWISE = """
+SELECT * FROM (
+  WITH g AS (SELECT * FROM games WHERE competition_id IN ('GB1', 'ES1', 'L1', 'IT1', 'FR1')),
+  a AS (SELECT * FROM appearances WHERE game_id IN (SELECT game_id FROM g)),
+  b AS (SELECT competition_id, season, min(date_trunc('week', game_date)::DATE) AS lo, max(date_trunc('week', game_date)::DATE) AS hi FROM g GROUP BY 1, 2),
+  w AS (
+    SELECT player_id, week_start, competition_id, season FROM (
+      SELECT *, row_number() OVER (PARTITION BY player_id, week_start ORDER BY season, competition_id) AS rn FROM (
+        SELECT player_id, b.competition_id, b.season, unnest(generate_series(lo, hi, INTERVAL 7 DAY))::DATE AS week_start
+        FROM (SELECT DISTINCT player_id, competition_id, season FROM a JOIN g ON a.game_id = g.game_id) s
+        JOIN b ON b.competition_id = s.competition_id AND b.season = s.season))
+    WHERE rn = 1),
+  d AS (SELECT player_id, game_date AS day, sum(coalesce(minutes_played, 0)) AS minutes, count(*) AS matches FROM a JOIN g ON a.game_id = g.game_id GROUP BY 1, 2),
+  f AS (
+    SELECT w.player_id, w.week_start,
+      coalesce(sum(CASE WHEN day >= week_start - 7 THEN minutes END), 0) AS minutes_last_1w,
+      coalesce(sum(CASE WHEN day >= week_start - 28 THEN minutes END), 0) AS minutes_last_4w,
+      coalesce(sum(minutes), 0) AS minutes_last_8w,
+      coalesce(sum(CASE WHEN day >= week_start - 7 THEN matches END), 0) AS matches_last_7d,
+      coalesce(max(CASE WHEN day >= week_start - 14 THEN minutes END), 0) AS max_minutes_14d
+    FROM w LEFT JOIN d ON d.player_id = w.player_id AND day >= week_start - 56 AND day < week_start GROUP BY 1, 2),
+  p AS (
+    SELECT w.player_id, w.week_start, coalesce(least(week_start - max(day), 9999), 9999) AS days_since_last_played
+    FROM w LEFT JOIN d ON d.player_id = w.player_id AND day < week_start AND minutes > 0 GROUP BY 1, 2),
+  l AS (
+    SELECT w.player_id, w.week_start,
+      max(CASE WHEN injury_start > week_start AND injury_start <= week_start + 30 THEN 1 ELSE 0 END) AS target,
+      max(CASE WHEN injury_start <= week_start AND injury_end >= week_start THEN 1 ELSE 0 END) AS ineligible
+    FROM w LEFT JOIN serious_injuries i ON i.player_id = w.player_id GROUP BY 1, 2),
+  v AS (SELECT player_id, season, min(date) - 14 AS lo, max(date) + 14 AS hi FROM a JOIN g ON a.game_id = g.game_id GROUP BY 1, 2)
+  SELECT w.player_id, w.week_start, w.competition_id, w.season::BIGINT AS season, minutes_last_1w::DOUBLE AS minutes_last_1w,
+    minutes_last_4w::DOUBLE AS minutes_last_4w, minutes_last_8w::DOUBLE AS minutes_last_8w,
+    round(minutes_last_1w / (minutes_last_4w / 4 + 1), 6) AS acwr, days_since_last_played::BIGINT AS days_since_last_played,
+    matches_last_7d::DOUBLE AS matches_last_7d, max_minutes_14d::DOUBLE AS max_minutes_14d, target::BIGINT AS target, ineligible::BIGINT AS ineligible,
+    CASE WHEN w.player_id IN (SELECT player_id FROM injuries) THEN 1 ELSE 0 END::BIGINT AS label_known,
+    CASE WHEN w.week_start + 30 <= (SELECT max(injury_start) FROM injuries) THEN 1 ELSE 0 END::BIGINT AS not_censored,
+    CASE WHEN w.week_start BETWEEN v.lo AND v.hi THEN 1 ELSE 0 END::BIGINT AS active_player
+  FROM w JOIN f USING (player_id, week_start) JOIN p USING (player_id, week_start) JOIN l USING (player_id, week_start)
+  LEFT JOIN v ON v.player_id = w.player_id AND v.season = w.season)
+"""
+
+
+def step_sources(t) -> steps.Sources:
+    """The tables as the files that the steps begin with."""
+    folder = scratch(t)
+    backbone = {"appearances": t.appearances, "games": t.games.withColumnRenamed("game_date", "date"), "players": t.players, "competitions": t.competitions}
+    for name, df in backbone.items():
+        sinks.write_csv(df, f"{folder}/backbone/{name}.csv")
+    spelled = {
+        "injuries": t.raw_injuries.withColumnsRenamed({"injury_start": "from_date", "injury_end": "end_date", "days_out": "days_missed"}),
+        "transfers": t.transfers.withColumn("from_team_id", F.lit(0)), "market_values": t.market_values.withColumnRenamed("value", "market_value_in_eur"),
+    }
+    for name, df in spelled.items():
+        sinks.write_csv(df, f"{folder}/other/{name}")
+    return steps.Sources(t.spark, f"{folder}/backbone", f"{folder}/other")
+
+
+@query("C11_stepwise_panel", STEPWISE)
 def stepwise_panel(t):
-    stages = sinks.StageStore(t.spark, scratch(t))
-    out = jobs.stepwise_panel(inputs(t), stages)
-    return out.groupBy("competition_id").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("not_censored").cast("bigint").alias("observed")
-    )
+    """All eighteen steps from files; the panel of the last one."""
+    runner = steps.Runner(step_sources(t), sinks.StageStore(t.spark, f"{scratch(t)}/steps"))
+    out = runner.run_all()["panel"]
+    wanted = [
+        KEY, WEEK, "competition_id", "season", "minutes_last_1w", "minutes_last_4w", "minutes_last_8w", "acwr", "days_since_last_played", "matches_last_7d",
+        "max_minutes_14d", "target", "ineligible", "label_known", "not_censored", "active_player",
+    ]
+    return rounded(bigints(out.select(*wanted)), "acwr")

@@ -8,6 +8,8 @@ from ..functions import scalars
 from ..operators import cleaning, features, grid, labels, temporal
 from ..operators.features import KEY, WEEK
 from ..plans.panel import PanelInputs, build_panel
+from ..session import shared_dir
+from ..sources.sinks import StageStore
 from .registry import query
 
 VALID_FROM, TEST_FROM = "2000-01-01", "2000-10-01"
@@ -35,6 +37,16 @@ def panel(t):
     return build_panel(inputs(t))
 
 
+def stages(t) -> StageStore:
+    """The stages of the queries: in the shared folder, by what they are made from."""
+    return StageStore(t.spark, f"{shared_dir(t.spark).rstrip('/')}/stages")
+
+
+def kept_panel(t):
+    """The panel as a stage: computed once for each state of the inputs, then read by every query over it."""
+    return stages(t).get("panel", lambda: panel(t))
+
+
 def rounded(df, *columns, digits: int = 6):
     """Half away from zero, in plain double arithmetic (``round`` goes through decimals, row by row)."""
     scale = 10.0**digits

@@ -1,7 +1,7 @@
 """Risk model on the panel: weighting, boosting with calibration, resampling, importance, controls.
 
-Fitting is Spark ML; everything around it (weights, holdouts, draws, permutations, metrics) is DataFrame work
-with hash-based draws, so reruns and recomputed partitions agree.
+The boosted trees are :mod:`boosting`, calibration and baselines Spark ML; everything around them (weights, holdouts, draws, permutations,
+metrics) is DataFrame work with hash-based draws, so reruns and recomputed partitions agree.
 """
 
 from __future__ import annotations
@@ -9,17 +9,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HASH_BITS, ratio, stable_hash
-from ..session import shared_dir
-from . import cleaning, ranking, sampling
+from . import boosting, cleaning, ranking, sampling
+from .boosting import Booster
 from .features import KEY, WEEK
 
 ROW_KEY = [KEY, WEEK, "season"]
@@ -55,17 +57,39 @@ class Settings:
     learning_rate: float = 0.05
     max_iter: int = 500
     max_depth: int = 6
-    max_bins: int = 64
+    max_leaves: int = 31
+    min_rows: int = 20
+    max_bins: int = 255
     holdout_fraction: float = 0.1
     patience: int = 20
     tolerance: float = 1e-7
     seed: int = 42
 
 
+@dataclass(frozen=True)
+class Calibrator:
+    """Steps of the isotonic fit, linear in between; scores outside are clipped."""
+
+    scores: np.ndarray
+    risks: np.ndarray
+
+    def column(self, spark, score: Column) -> Column:
+        sent = spark.sparkContext.broadcast(self)
+
+        @F.arrow_udf("double")
+        def risk(column: pa.Array) -> pa.Array:
+            own = sent.value
+            if not len(own.scores):
+                return pa.nulls(len(column), pa.float64())
+            return pa.array(np.interp(column.to_numpy(zero_copy_only=False), own.scores, own.risks))
+
+        return risk(score)
+
+
 @dataclass(frozen=True)
 class FittedRisk:
-    model: Model
-    calibrator: Model
+    model: Booster
+    calibrator: Calibrator
     features: list[str]
 
 
@@ -74,64 +98,35 @@ def _vector(df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="features").transform(frame).select(*keep, "features")
 
 
-def _stop_at(losses: list[float], patience: int, tolerance: float) -> int:
-    """Trees to keep: where the loss had not improved for ``patience`` rounds."""
-    best, since = float("inf"), 0
-    for i, loss in enumerate(losses):
-        best, since = (loss, 0) if loss < best - tolerance else (best, since + 1)
-        if since >= patience:
-            return i + 1
-    return len(losses)
+def fit_booster(train: DataFrame, features: list[str], settings: Settings = Settings(), label: str = "target") -> Booster:
+    """Weighted boosted trees that stop early on a hashed holdout."""
+    weighted = class_weights(train, label).withColumn("_held", holdout(train, settings.holdout_fraction, ROW_KEY, settings.seed))
+    frame = cleaning.aligned(weighted, features, [label, "weight", "_held"])
+    return boosting.fit(
+        frame, features, label, "weight", "_held", settings.max_iter, settings.max_depth, settings.max_leaves, settings.learning_rate,
+        settings.max_bins, settings.patience, settings.tolerance, settings.min_rows,
+    )
 
 
-def fit_booster(train: DataFrame, features: list[str], settings: Settings = Settings(), label: str = "target") -> Model:
-    """Weighted boosted trees with early stopping on a hashed holdout.
-
-    Spark stops at the first round without gain, so the losses of all rounds are read from the holdout and,
-    when patience would have ended earlier, the fit is repeated with that many rounds (same seed, same trees).
-    """
-    context = train.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(train.sparkSession))
-    weighted = class_weights(train.withColumn(label, F.col(label).cast("double")), label)
-    marked = weighted.withColumn("_held", holdout(train, settings.holdout_fraction, ROW_KEY, settings.seed))
-    vectors = _vector(marked, features, [label, "weight", "_held"]).persist()
-    try:
-        def booster(rounds: int) -> GBTClassifier:
-            return GBTClassifier(
-                featuresCol="features", labelCol=label, weightCol="weight", maxIter=rounds,
-                stepSize=settings.learning_rate, maxDepth=settings.max_depth, maxBins=settings.max_bins,
-                seed=settings.seed, checkpointInterval=10, cacheNodeIds=True, maxMemoryInMB=512,
-            )
-
-        fitted = vectors.filter(~F.col("_held"))
-        model = booster(settings.max_iter).fit(fitted)
-        if settings.patience and settings.patience < settings.max_iter:
-            losses = model.evaluateEachIteration(vectors.filter("_held"))
-            rounds = _stop_at(list(losses), settings.patience, settings.tolerance)
-            if rounds < settings.max_iter:
-                model = booster(rounds).fit(fitted)
-        return model
-    finally:
-        vectors.unpersist()
-
-
-def raw_scores(df: DataFrame, model: Model, features: list[str], keep: list[str]) -> DataFrame:
+def raw_scores(df: DataFrame, model: Booster | Model, features: list[str], keep: list[str]) -> DataFrame:
+    if isinstance(model, Booster):
+        frame = cleaning.aligned(df, features, keep)
+        return frame.select(*keep, boosting.score_column(df.sparkSession, model, F.array(*[F.col(f"`{c}`") for c in features])).alias(SCORE))
     scored = model.transform(_vector(df, features, keep))
     return scored.select(*keep, vector_to_array("probability").getItem(1).alias(SCORE))
 
 
-def fit_calibrator(scored: DataFrame, label: str = "target") -> Model:
+def fit_calibrator(scored: DataFrame, label: str = "target") -> Calibrator:
     """Isotonic regression over (score, mean label, rows): equal scores are merged before it pools."""
     pooled = scored.groupBy(SCORE).agg(F.avg(F.col(label).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-    return IsotonicRegression(
-        featuresCol=SCORE, labelCol="label", weightCol="weight", predictionCol=RISK, isotonic=True
-    ).fit(pooled)
+    fitted = IsotonicRegression(featuresCol=SCORE, labelCol="label", weightCol="weight", isotonic=True).fit(pooled)
+    return Calibrator(fitted.boundaries.toArray(), fitted.predictions.toArray())
 
 
 def calibrated(df: DataFrame, fit: FittedRisk, keep: list[str]) -> DataFrame:
     """Rows with ``raw_score`` and the calibrated ``pred_risk`` (scores outside the fitted range are clipped)."""
-    return fit.calibrator.transform(raw_scores(df, fit.model, fit.features, keep))
+    scored = raw_scores(df, fit.model, fit.features, keep)
+    return scored.withColumn(RISK, fit.calibrator.column(df.sparkSession, F.col(SCORE)))
 
 
 def fit_risk(split: DataFrame, features: list[str], settings: Settings = Settings(), label: str = "target") -> FittedRisk:
@@ -239,7 +234,7 @@ def intervals(replicates: DataFrame, metrics: Sequence[str], low: float = 0.025,
 
 
 def permutation_importance(
-    df: DataFrame, model: Model, features: list[str], sample: int = 10_000, repeats: int = 10, seed: int = 42,
+    df: DataFrame, model: Booster, features: list[str], sample: int = 10_000, repeats: int = 10, seed: int = 42,
     label: str = "target",
 ) -> DataFrame:
     """Mean and spread of the drop in average precision when one feature is permuted.
@@ -266,8 +261,7 @@ def permutation_importance(
     )
     plain = base.select(F.lit(-1).alias("_f"), F.lit(0).alias("_r"), "label", "_x")
     batch = plain.unionByName(replaced.select("_f", "_r", "label", "_x"))
-    scored = model.transform(batch.select("_f", "_r", "label", array_to_vector("_x").alias("features")))
-    scored = scored.select("_f", "_r", "label", vector_to_array("probability").getItem(1).alias(SCORE))
+    scored = batch.select("_f", "_r", "label", boosting.score_column(df.sparkSession, model, F.col("_x")).alias(SCORE))
     counts = ranking.score_counts(scored, "label", SCORE, ["_f", "_r"])
     precision = ranking.curve_metrics(counts, ["_f", "_r"]).select("_f", "_r", "average_precision")
     reference = precision.filter(F.col("_f") < 0).agg(F.max("average_precision").alias("_base"))
@@ -293,13 +287,13 @@ def shuffled_labels(df: DataFrame, seed: object, label: str = "target", keys: Se
     )
 
 
-def negative_control(split: DataFrame, features: list[str], settings: Settings = Settings()) -> DataFrame:
+def negative_control(split: DataFrame, features: list[str], settings: Settings = Settings(), fitter=fit_risk) -> DataFrame:
     """Fit and calibrate on permuted labels; test precision should fall to prevalence."""
     def part(name: str) -> DataFrame:
         return split.filter(F.col("split") == name)
 
     mixed = shuffled_labels(part("train"), 1).unionByName(shuffled_labels(part("valid"), 2)).unionByName(part("test"))
-    fit = fit_risk(mixed, features, settings)
+    fit = fitter(mixed, features, settings)
     test = calibrated(part("test"), fit, [*ROW_KEY, "target"])
     honest = ranking.curve_metrics(ranking.score_counts(test, "target", RISK))
     mixed_test = ranking.curve_metrics(ranking.score_counts(shuffled_labels(test, 3), "target", RISK))

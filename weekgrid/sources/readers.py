@@ -163,7 +163,11 @@ def detect_tables(spark: SparkSession, root: str, cache: str | None = None) -> d
 
 def load_labels(spark: SparkSession, root: str, cache: str | None = None) -> dict[str, DataFrame]:
     """Interval, profile, transfer and value tables found under ``root``, renamed and typed."""
-    found = detect_tables(spark, root, cache)
+    return read_labels(spark, detect_tables(spark, root, cache))
+
+
+def read_labels(spark: SparkSession, found: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The detected tables by canonical name, renamed and typed."""
     tables = {}
     for source, name in (("injuries", "injuries"), ("profiles", "profiles"), ("transfers", "transfers"), ("market_value", "market_values")):
         if source not in found:
