@@ -442,6 +442,29 @@ def ragged_lines(t):
     return readers.load_table(t.spark, f"{folder}/t.csv")
 
 
+@query("S7_quoted_records", r"""
+SELECT c_custkey::BIGINT AS key,
+  CASE c_custkey % 5 WHEN 0 THEN c_name || chr(10) || 'said, "yes"' || chr(10) || chr(10) || c_mktsegment WHEN 1 THEN '"' || c_name || '"' WHEN 2 THEN c_name || chr(65533)
+    WHEN 3 THEN c_name || ' 5" x' ELSE c_name || ',' END AS note,
+  c_acctbal::DOUBLE AS balance FROM customer
+""")
+def quoted_records(t):
+    """Fields with line breaks, doubled quotes, stray quotes, commas and bytes that are no UTF-8, in several files."""
+    folder, key = scratch(t), F.col("c_custkey")
+    bad = F.unhex(F.lit("FF")).cast("string")
+    quoted = lambda *parts: F.concat(F.lit('"'), F.replace(F.concat(*parts), F.lit('"'), F.lit('""')), F.lit('"'))
+    note = (
+        F.when(key % 5 == 0, quoted(F.col("c_name"), F.lit('\nsaid, "yes"\n\n'), F.col("c_mktsegment"))).when(key % 5 == 1, quoted(F.lit('"'), F.col("c_name"), F.lit('"')))
+        .when(key % 5 == 2, F.concat("c_name", bad)).when(key % 5 == 3, F.concat("c_name", F.lit(' 5" x'))).otherwise(quoted(F.col("c_name"), F.lit(",")))
+    )
+    lines = t.raw("customer").select(F.concat_ws(",", key.cast("string"), note, F.col("c_acctbal").cast("double").cast("string")).alias("value"))
+    # The header stands at the head of every file: it travels with each file's first line.
+    numbered = lines.repartition(3, "value").withColumn("at", F.monotonically_increasing_id())
+    headed = F.when(F.pmod("at", F.lit(1 << 33)) == 0, F.concat(F.lit("key,note,balance\n"), F.col("value"))).otherwise(F.col("value"))
+    numbered.select(headed.alias("value")).write.text(f"{folder}/notes.csv")
+    return readers.load_table(t.spark, f"{folder}/notes.csv")
+
+
 @query("S5_load_all_csvs", "SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey")
 def load_all_csvs(t):
     folder = scratch(t)
@@ -603,7 +626,7 @@ SELECT * FROM (
     SELECT player_id, week_start, competition_id, season FROM (
       SELECT *, row_number() OVER (PARTITION BY player_id, week_start ORDER BY season, competition_id) AS rn FROM (
         SELECT player_id, b.competition_id, b.season, unnest(generate_series(lo, hi, INTERVAL 7 DAY))::DATE AS week_start
-        FROM (SELECT DISTINCT player_id, competition_id, season FROM a JOIN g ON a.game_id = g.game_id) s
+        FROM (SELECT DISTINCT player_id, g.competition_id, g.season FROM a JOIN g ON a.game_id = g.game_id) s
         JOIN b ON b.competition_id = s.competition_id AND b.season = s.season))
     WHERE rn = 1),
   d AS (SELECT player_id, game_date AS day, sum(coalesce(minutes_played, 0)) AS minutes, count(*) AS matches FROM a JOIN g ON a.game_id = g.game_id GROUP BY 1, 2),
@@ -623,7 +646,7 @@ SELECT * FROM (
       max(CASE WHEN injury_start > week_start AND injury_start <= week_start + 30 THEN 1 ELSE 0 END) AS target,
       max(CASE WHEN injury_start <= week_start AND injury_end >= week_start THEN 1 ELSE 0 END) AS ineligible
     FROM w LEFT JOIN serious_injuries i ON i.player_id = w.player_id GROUP BY 1, 2),
-  v AS (SELECT player_id, season, min(date) - 14 AS lo, max(date) + 14 AS hi FROM a JOIN g ON a.game_id = g.game_id GROUP BY 1, 2)
+  v AS (SELECT player_id, g.season, min(date) - 14 AS lo, max(date) + 14 AS hi FROM a JOIN g ON a.game_id = g.game_id GROUP BY 1, 2)
   SELECT w.player_id, w.week_start, w.competition_id, w.season::BIGINT AS season, minutes_last_1w::DOUBLE AS minutes_last_1w,
     minutes_last_4w::DOUBLE AS minutes_last_4w, minutes_last_8w::DOUBLE AS minutes_last_8w,
     round(minutes_last_1w / (minutes_last_4w / 4 + 1), 6) AS acwr, days_since_last_played::BIGINT AS days_since_last_played,

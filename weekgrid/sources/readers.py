@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.scalars import lenient_date, slug
 from ..operators.cleaning import rename_variants
+from . import records
 
 
 def _path(spark: SparkSession, path: str):
@@ -63,9 +64,42 @@ def list_children(spark: SparkSession, folder: str, kind: str = "csv") -> list[F
     return sorted((f for f in found if f.kind == kind), key=lambda f: f.path)
 
 
-def read_text_columns(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """A CSV (a file, a folder or several of one header) with every column as text: nothing fails before it is cast."""
-    return spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8").csv(path)
+#: Two quotes inside a quoted field are one; a backslash is a letter like others.
+CSV = {"header": "true", "mode": "PERMISSIVE", "encoding": "UTF-8", "quote": '"', "escape": '"'}
+
+
+def read_text_columns(spark: SparkSession, path: str | list[str], extra: str | None = None) -> DataFrame:
+    """A CSV (a file, a folder or several of one header) with every column as text: nothing fails before it is cast.
+
+    ``extra`` names one more column for what stands behind the last one. Where a quoted field holds a line break, records
+    are cut by :mod:`records`; other files go through the plain reader.
+    """
+    begins, broken = records.blocks(spark, path)
+    if not broken:
+        reader = spark.read.options(**CSV)
+        if extra is None:
+            return reader.csv(path)
+        names = reader.csv(path).columns
+        return reader.schema(_text_schema([*names, _unused(names, extra)])).csv(path)
+    rows = records.read_records(spark, path, begins)
+    header = rows.filter("first").orderBy("path").select("record").first()
+    # An unnamed or repeated column gets its place as its name, as the plain reader does.
+    given = _names(header["record"] if header else "")
+    names = [f"_c{i}" if not c else c if given.count(c) == 1 else f"{c}{i}" for i, c in enumerate(given)]
+    names = names if extra is None else [*names, _unused(names, extra)]
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    parsed = F.from_csv("record", schema, {k: v for k, v in CSV.items() if k != "header"})
+    return rows.filter("NOT first").select(parsed.alias("fields")).select("fields.*")
+
+
+def _text_schema(names: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in names])
+
+
+def _unused(names: list[str], name: str) -> str:
+    while name in names:
+        name += "_"
+    return name
 
 
 def _plain_path(path: Column | str) -> Column:
@@ -192,14 +226,9 @@ def _read_ragged(spark: SparkSession, path: str) -> DataFrame:
 
     An empty field behind the last one (a comma at the end of the line) is no field.
     """
-    names = read_text_columns(spark, path).columns
-    extra = "_extra"
-    while extra in names:
-        extra += "_"
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, extra]])
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
-    rows = reader.schema(schema).csv(path).filter(F.col(extra).isNull())
-    return rows.drop(extra)
+    rows = read_text_columns(spark, path, "_extra")
+    extra = rows.columns[-1]
+    return rows.filter(F.col(f"`{extra}`").isNull()).drop(extra)
 
 
 def infer_types(df: DataFrame) -> DataFrame:
