@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
 from ..functions import scalars
 from ..operators import audits, cleaning, explore, joins, profile
 from ..operators.features import KEY, WEEK
@@ -270,30 +271,29 @@ def missingness(t):
     return rounded(bigints(profile.missingness(t.raw_injuries)), "missing_pct")
 
 
-def summary_sql(table: str, columns: list[str]) -> str:
+def summary_sql(table: str, columns: list[str], digits: int = 6) -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c})::DOUBLE AS count, round(avg({c}), 6) AS mean,
-        round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), 6) AS p25,
-        round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({c}::DOUBLE, 0.75), 6) AS p75,
+        f"""SELECT '{c}' AS "column", count({c})::DOUBLE AS count, round(avg({c}), {digits}) AS mean,
+        round(stddev_samp({c}), {digits}) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.25), {digits}) AS p25,
+        round(quantile_cont({c}::DOUBLE, 0.5), {digits}) AS p50, round(quantile_cont({c}::DOUBLE, 0.75), {digits}) AS p75,
         max({c})::DOUBLE AS max FROM {table}"""
         for c in columns
     )
 
 
-@query("D3_numeric_summary", summary_sql("lineitem", ["l_quantity", "l_linenumber", "l_partkey", "l_suppkey"]))
+LINEITEM_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("D3_numeric_summary", summary_sql("lineitem", LINEITEM_NUMBERS, 4))
 def numeric_summary(t):
-    slim = t.raw("lineitem").select("l_quantity", "l_linenumber", "l_partkey", "l_suppkey")
-    return rounded(profile.numeric_summary(slim), "mean", "std", "p25", "p50", "p75")
+    return rounded(profile.numeric_summary(t.raw("lineitem")), "mean", "std", "p25", "p50", "p75", digits=4)
 
 
-@query("D3_largest_values", """
-SELECT 'l_extendedprice' AS "column", row_number() OVER (ORDER BY v DESC)::BIGINT AS place, v AS value
-FROM (SELECT l_extendedprice AS v FROM lineitem ORDER BY 1 DESC LIMIT 5)
-UNION ALL SELECT 'l_quantity', row_number() OVER (ORDER BY v DESC)::BIGINT, v
-FROM (SELECT l_quantity AS v FROM lineitem ORDER BY 1 DESC LIMIT 5)
-""")
+@query("D3_largest_values", " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", row_number() OVER (ORDER BY v DESC)::BIGINT AS place, v::DOUBLE AS value FROM (SELECT {c} AS v FROM lineitem ORDER BY 1 DESC LIMIT 5)
+""" for c in LINEITEM_NUMBERS))
 def largest_values(t):
-    return profile.largest_values(t.raw("lineitem").select("l_extendedprice", "l_quantity"))
+    return profile.largest_values(t.raw("lineitem"))
 
 
 @query("D4_top_values", """
@@ -365,26 +365,32 @@ def measure_checks(t):
     return rounded(minutes.unionByName(profile.interval_checks(t.profiles.select("height"))), "value")
 
 
+#: Columns of the panel, numbers first.
+PANEL_NUMBERS = (
+    "season minutes_last_1w minutes_last_2w minutes_last_4w minutes_last_8w matches_last_3d matches_last_7d matches_last_14d matches_last_28d"
+    " minutes_last_10d max_minutes_14d away_matches_last_28d away_minutes_last_28d yellow_cards_last_28d red_cards_last_56d acwr away_match_share_28d"
+    " days_since_last_played days_since_transfer market_value market_value_6m log_market_value market_value_trend target ineligible injuries_last_30d"
+    " injuries_last_180d injuries_last_365d days_out_last_30d days_out_last_180d days_out_last_365d days_since_last_injury_start"
+    " days_since_last_injury_end last_injury_days_out not_censored active_player label_known height age"
+).split()
+PANEL_COLUMNS = ["player_id", "week_start", "competition_id", *PANEL_NUMBERS, "position", "date_of_birth"]
+
+
 def catalog_sql(table: str, columns: list[str]) -> str:
-    return " UNION ALL ".join(
-        f"""SELECT '{c}' AS feature, round((count(*) - count({c})) / count(*), 6) AS missing_pct,
-        count(DISTINCT {c})::BIGINT AS n_unique, {int(m)}::BIGINT AS is_model_feature, round(avg({c}), 6) AS mean,
-        round(stddev_samp({c}), 6) AS std, min({c})::DOUBLE AS min, round(quantile_cont({c}::DOUBLE, 0.05), 6) AS p05,
-        round(quantile_cont({c}::DOUBLE, 0.5), 6) AS p50, round(quantile_cont({c}::DOUBLE, 0.95), 6) AS p95,
-        max({c})::DOUBLE AS max FROM {table}"""
-        for c, m in columns
-    )
+    def branch(c: str) -> str:
+        numbers = ("avg({0})", "stddev_samp({0})", "min({0})::DOUBLE", "quantile_cont({0}::DOUBLE, 0.05)", "quantile_cont({0}::DOUBLE, 0.5)", "quantile_cont({0}::DOUBLE, 0.95)", "max({0})::DOUBLE")
+        names = ("mean", "std", "min", "p05", "p50", "p95", "max")
+        cells = ", ".join(f"{'round(' + v.format(c) + ', 4)' if c in PANEL_NUMBERS else 'NULL'}::DOUBLE AS {n}" for n, v in zip(names, numbers))
+        return f"""SELECT '{c}' AS feature, round((count(*) - count({c})) / count(*), 6)::DOUBLE AS missing_pct, count(DISTINCT {c})::BIGINT AS n_unique,
+        {int(c in S.BASE_FEATURES)}::BIGINT AS is_model_feature, {cells} FROM {table}"""
 
+    return " UNION ALL ".join(branch(c) for c in columns)
 
-@query("D8_feature_catalog", catalog_sql("panel", [
-    ("minutes_last_4w", True), ("injuries_last_365d", True), ("days_since_transfer", False), ("height", False),
-]))
+
+@query("D8_feature_catalog", catalog_sql("panel", [c for c in PANEL_COLUMNS if c not in S.CATALOG_EXCLUDED]))
 def feature_catalog(t):
-    slim = kept_panel(t).select(
-        KEY, WEEK, "season", "target", "minutes_last_4w", "injuries_last_365d", "days_since_transfer", "height"
-    )
-    table = profile.feature_catalog(slim, ["minutes_last_4w", "injuries_last_365d"]).drop("dtype")
-    return rounded(bigints(table), "missing_pct", "mean", "std", "p05", "p50", "p95")
+    table = profile.feature_catalog(kept_panel(t), S.BASE_FEATURES).drop("dtype")
+    return rounded(rounded(bigints(table), "missing_pct"), "mean", "std", "min", "p05", "p50", "p95", "max", digits=4)
 
 
 BY_SEASON = """

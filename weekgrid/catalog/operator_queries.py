@@ -9,12 +9,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import cleaning, explore, grid, joins, matching, profile, sampling
+from ..operators import cleaning, explore, fused, grid, joins, matching, profile, sampling
 from ..operators.features import KEY, WEEK
 from ..plans import jobs, steps
 from ..session import shared_dir, stored
 from ..sources import readers, sinks
-from .audit_queries import BY_LOAD, BY_POSITION, BY_SEASON
+from .audit_queries import BY_LOAD, BY_POSITION, BY_SEASON, PANEL_COLUMNS
 from .panel_queries import bigints, cohort, inputs, kept_panel, panel, rounded
 from .registry import query
 
@@ -542,6 +542,36 @@ def bounded_export(t):
     return readers.read_text_columns(t.spark, path).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("D13_load_log", """
+SELECT 'good' AS "table", 'loaded' AS status, count(*)::BIGINT AS n_rows, 3::BIGINT AS n_columns, 0::BIGINT AS skipped, '' AS note FROM customer
+UNION ALL SELECT 'ragged', 'loaded', count(*) FILTER (n_nationkey % 3 < 2)::BIGINT, 2, count(*) FILTER (n_nationkey % 3 = 2)::BIGINT, '' FROM nation
+UNION ALL SELECT 'quoted', 'loaded', count(*)::BIGINT, 2, 0, '' FROM supplier
+UNION ALL SELECT 'empty', 'failed', 0, 0, 0, 'empty' UNION ALL SELECT 'broken', 'failed', 0, 0, 0, 'unreadable'
+""")
+def load_log(t):
+    """A good table, one with long and short lines, one with quoted line breaks, an empty file and one that is no archive."""
+    folder = scratch(t)
+
+    def written(name: str, lines, header: str) -> None:
+        headed = t.spark.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit(header).alias("value")).unionByName(lines)
+        headed.repartitionByRange(1, "at").sortWithinPartitions("at").select("value").write.text(f"{folder}/{name}.csv")
+
+    sinks.write_csv(t.raw("customer").select("c_custkey", "c_name", "c_mktsegment").repartition(3), f"{folder}/good.csv")
+    key = F.col("n_nationkey").cast("string")
+    line = F.when(F.col("n_nationkey") % 3 == 0, key).when(F.col("n_nationkey") % 3 == 1, F.concat_ws(",", key, "n_name")).otherwise(F.concat_ws(",", key, "n_name", F.lit("more")))
+    written("ragged", t.raw("nation").select(F.col("n_nationkey").cast("long").alias("at"), line.alias("value")), "key,name")
+    quoted = F.concat(F.col("s_suppkey").cast("string"), F.lit(',"'), F.col("s_name"), F.lit('\n, again"'))
+    written("quoted", t.raw("supplier").select(F.col("s_suppkey").cast("long").alias("at"), quoted.alias("value")), "key,name")
+    t.raw("region").limit(0).select("r_name").write.text(f"{folder}/empty.csv")
+    t.raw("region").select("r_name").coalesce(1).write.text(f"{folder}/_staged")
+    hadoop, system = readers._path(t.spark, f"{folder}/_staged")
+    part = next(s.getPath() for s in system.listStatus(hadoop) if s.getPath().getName().startswith("part-"))
+    target = readers._path(t.spark, f"{folder}/broken.csv/part-0.csv.gz")[0]
+    system.mkdirs(target.getParent())
+    system.rename(part, target)
+    return readers.load_log(t.spark, folder)
+
+
 @query("D13_dataset_index", """
 SELECT 'club_data' AS dataset_id, 'Club Data' AS dataset, 2::BIGINT AS tables, 'Injuries, Players' AS key_tables
 """)
@@ -580,9 +610,77 @@ def verify_panel(t):
     return jobs.verify_panel(kept_panel(t), t.appearances, t.competitions, t.injuries, t.profiles)
 
 
-@query("C6_raw_profile")
+# Columns of the canonical tables by kind: n number, t text, d date (all of them, in order).
+PROFILED = {
+    "appearances": "player_id n game_id n player_club_id n player_current_club_id n date d competition_id t minutes_played n yellow_cards n red_cards n",
+    "games": "game_id n competition_id t season n game_date d home_club_id n away_club_id n",
+    "competitions": "competition_id t competition_code t name t sub_type t type t country_name t",
+    "players": "player_id n name t current_club_name t position t",
+    "raw_injuries": "player_id n injury_start d injury_end d days_out n injury_reason t",
+    "profiles": "player_id n position t height n date_of_birth d",
+    "transfers": "player_id n transfer_date d",
+    "market_values": "player_id n date d value n row_order n",
+}
+
+
+def profile_sql() -> str:
+    """One branch for each table, section and column, from the rules of the report."""
+    out = []
+
+    def add(table, section, column, metric, value, text="NULL", source=None):
+        out.append(
+            f"SELECT '{table}' AS \"table\", '{section}' AS section, '{column}' AS \"column\", {metric} AS metric, round(({value})::DOUBLE, 4) AS value, {text}::VARCHAR AS text"
+            f" FROM {source or table}"
+        )
+
+    for table, listed in PROFILED.items():
+        words = listed.split()
+        columns = dict(zip(words[::2], words[1::2]))
+        add(table, "basic", "*", "'n_rows'", "count(*)")
+        add(table, "basic", "*", "'n_columns'", f"any_value({len(columns)})")
+        add(table, "basic", "*", "'duplicate_rows'", f"count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {table}))")
+        for c, kind in columns.items():
+            share = f"100 - count({c}) * 100.0 / count(*)"
+            add(table, "missing", c, "'missing_pct'", share)
+            add(table, "missing", c, "'high_missing'", f"({share} > 50)::INT")
+            add(table, "missing", c, "'n_unique'", f"count(DISTINCT {c})")
+            if kind == "t":
+                add(table, "categorical", c, "'high_cardinality'", f"(count(DISTINCT {c}) / count(*) > 0.9)::INT")
+                add(table, "frequent", c, "place::VARCHAR", "n", "v", f"(SELECT {c} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS place FROM {table} WHERE {c} IS NOT NULL GROUP BY 1) WHERE place <= 10")
+            if kind == "n":
+                moments = {
+                    "count": f"count({c})", "mean": f"avg({c})", "std": f"stddev_samp({c})", "min": f"min({c})", "max": f"max({c})",
+                    **{f"p{q}": f"quantile_cont({c}::DOUBLE, {q / 100})" for q in (25, 50, 75)},
+                }
+                for metric, value in moments.items():
+                    add(table, "numeric", c, f"'{metric}'", value)
+                add(table, "largest", c, "(row_number() OVER (ORDER BY v DESC))::VARCHAR", "v", "NULL", f"(SELECT {c} AS v FROM {table} WHERE {c} IS NOT NULL ORDER BY 1 DESC LIMIT 5)")
+            if kind == "d":
+                add(table, "dates", c, "'success_pct'", f"100 - (count(*) - count({c})) * 100.0 / count(*)")
+                add(table, "dates", c, "'first_day'", f"min({c}) - DATE '1970-01-01'")
+                add(table, "dates", c, "'last_day'", f"max({c}) - DATE '1970-01-01'")
+                add(table, "dates", c, "'invalid'", f"count(*) - count({c})")
+            if "_id" in c:
+                add(table, "ids", c, "'null_pct'", share)
+                add(table, "ids", c, "'uniqueness'", f"count(DISTINCT {c}) / count(*)")
+                add(table, "ids", c, "'likely_key'", f"(count(DISTINCT {c}) = count(*))::INT")
+    days = "injury_end - injury_start"
+    for metric, test in (("negative_days", "< 0"), ("zero_days", "= 0"), ("time_loss_7plus", ">= 7")):
+        add("raw_injuries", "checks", "injuries", f"'{metric}'", f"count(*) FILTER ({days} {test})")
+    add("raw_injuries", "checks", "injuries", "'median_days'", f"quantile_cont(({days})::DOUBLE, 0.5)")
+    minutes = {"zero_minutes_pct": "100.0 * count(*) FILTER (minutes_played = 0) / count(*)", "min": "min(minutes_played)", "max": "max(minutes_played)", "median": "quantile_cont(minutes_played::DOUBLE, 0.5)"}
+    for metric, value in minutes.items():
+        add("appearances", "checks", "minutes", f"'{metric}'", value)
+    add("profiles", "checks", "height", "'outliers'", "count(*) FILTER (height < 140 OR height > 220)")
+    for other, key in (("games", "game_id"), ("players", "player_id")):
+        add("appearances", "integrity", key, f"'in_{other}_pct'", f"100.0 * count(*) FILTER ({key} IN (SELECT {key} FROM {other})) / count(*)")
+    return " UNION ALL ".join(out)
+
+
+@query("C6_raw_profile", profile_sql())
 def raw_profile(t):
-    return jobs.profile_table(t.raw_injuries, "injuries")
+    tables = {name: getattr(t, name) for name in PROFILED}
+    return rounded(fused.profile_tables(tables), "value", digits=4)
 
 
 @query("C7_panel_slices", f"""
@@ -594,19 +692,54 @@ def panel_slices(t):
     return rounded(bigints(jobs.panel_slices(kept_panel(t))), "rate_pct")
 
 
-@query("C8_join_audit", """
-SELECT 'injuries' AS other, count(DISTINCT player_id)::BIGINT AS unmatched FROM players WHERE player_id NOT IN (SELECT player_id FROM injuries)
-UNION ALL SELECT 'profiles', count(DISTINCT player_id)::BIGINT FROM players WHERE player_id NOT IN (SELECT player_id FROM profiles)
-UNION ALL SELECT 'transfers', count(DISTINCT player_id)::BIGINT FROM players WHERE player_id NOT IN (SELECT player_id FROM transfers)
-""")
+def coverage_sql(others: dict[str, str]) -> str:
+    players = "(SELECT DISTINCT player_id FROM players WHERE player_id IS NOT NULL)"
+    return " UNION ALL ".join(
+        f"""SELECT 'players_vs_{name}' AS "join", 'player_id' AS key, (SELECT count(*) FROM players)::BIGINT AS left_rows,
+        (SELECT count(*) FROM {table})::BIGINT AS right_rows, (SELECT count(*) FROM {players})::BIGINT AS left_unique,
+        (SELECT count(DISTINCT player_id) FROM {table})::BIGINT AS right_unique,
+        count(*) FILTER (l IS NOT NULL AND r IS NOT NULL)::BIGINT AS both_left, count(*) FILTER (l IS NOT NULL AND r IS NULL)::BIGINT AS left_only,
+        round(count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) / greatest(1, count(l)), 6) AS coverage_left,
+        count(*) FILTER (l IS NOT NULL AND r IS NOT NULL)::BIGINT AS both_right, count(*) FILTER (l IS NULL AND r IS NOT NULL)::BIGINT AS right_only,
+        round(count(*) FILTER (l IS NOT NULL AND r IS NOT NULL) / greatest(1, count(r)), 6) AS coverage_right
+        FROM (SELECT player_id AS l FROM {players}) FULL JOIN (SELECT DISTINCT player_id AS r FROM {table} WHERE player_id IS NOT NULL) ON l = r"""
+        for name, table in others.items()
+    )
+
+
+AUDITED = {"injuries": "injuries", "profiles": "profiles", "transfers": "transfers", "market_values": "market_values"}
+
+
+@query("C8_join_audit", coverage_sql(AUDITED))
 def join_audit(t):
-    table = jobs.join_audit(t.players, {"injuries": t.injuries, "profiles": t.profiles, "transfers": t.transfers})
-    return table.select(F.regexp_replace("join", "^players_vs_", "").alias("other"), F.col("left_only").alias("unmatched"))
+    others = {name: getattr(t, name) for name in AUDITED}
+    return rounded(jobs.join_audit(t.players, others).coverage, "coverage_left", "coverage_right")
 
 
-@query("C9_panel_inspection")
+@query("C8_join_samples", """
+SELECT * FROM (
+  SELECT 'players_vs_' || o AS "join", kind, k AS player_id FROM (
+    SELECT o, kind, k, row_number() OVER (PARTITION BY o, kind ORDER BY ('0x' || substr(md5('42|' || k), 1, 13))::BIGINT, k) AS place FROM (
+      SELECT o, CASE WHEN p AND q THEN 'both' WHEN p THEN 'left_only' ELSE 'right_only' END AS kind, k FROM (
+        SELECT o, k, bool_or(side = 'l') AS p, bool_or(side = 'r') AS q FROM (
+          SELECT 'injuries' AS o, 'r' AS side, player_id AS k FROM injuries UNION ALL SELECT 'profiles', 'r', player_id FROM profiles
+          UNION ALL SELECT 'transfers', 'r', player_id FROM transfers UNION ALL SELECT 'market_values', 'r', player_id FROM market_values
+          UNION ALL SELECT o, 'l', player_id FROM players, (SELECT unnest(['injuries', 'profiles', 'transfers', 'market_values']) AS o))
+        WHERE k IS NOT NULL GROUP BY o, k)))
+  WHERE place <= 25)
+""")
+def join_samples(t):
+    others = {name: getattr(t, name) for name in AUDITED}
+    return jobs.join_audit(t.players, others, sample=25).samples
+
+
+@query("C9_panel_inspection", "SELECT feature, missing_pct, n_unique FROM (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, round((count(*) - count({c})) / count(*), 6)::DOUBLE AS missing_pct, count(DISTINCT {c})::BIGINT AS n_unique FROM panel" for c in PANEL_COLUMNS
+) + ")")
 def panel_inspection(t):
-    return jobs.inspect_panel(stored(panel(t).select(KEY, WEEK, "season", "target", "ineligible", "minutes_last_4w", "height")))
+    """Every column of the whole panel."""
+    table = jobs.inspect_panel(kept_panel(t)).select("feature", "missing_pct", "n_unique")
+    return rounded(bigints(table), "missing_pct")
 
 
 @query("C10_legacy_pipeline")

@@ -90,7 +90,15 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         .groupBy("column", BUCKET, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    placed = _running(counted, "value", ["n"], ["column"], False, single=not any(cuts.values()))
+    return _quantiles_at(counted, _running(counted, "value", ["n"], ["column"], False, single=not any(cuts.values())), probabilities)
+
+
+def counted_quantiles(counted: DataFrame, probabilities: Sequence[float]) -> DataFrame:
+    """The same from one row per (column, value) with its count n."""
+    return _quantiles_at(counted, running_totals(counted, "value", ["n"], ["column"]), probabilities)
+
+
+def _quantiles_at(counted: DataFrame, placed: DataFrame, probabilities: Sequence[float]) -> DataFrame:
     sizes = counted.groupBy("column").agg(F.sum("n").alias("_total"))  # one row per column
     targets = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
     aims = sizes.select("column", targets.alias("p"), "_total").withColumn("_pos", F.col("p") * (F.col("_total") - 1))

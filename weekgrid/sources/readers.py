@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from .. import schemas as S
 from ..functions.scalars import lenient_date, slug
 from ..operators.cleaning import rename_variants
+from ..session import stored
 from . import records
 
 
@@ -107,6 +109,10 @@ def _plain_path(path: Column | str) -> Column:
     return F.regexp_replace(F.url_decode(path), "^file:/+", "file:/")
 
 
+def _flat(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
+
+
 def first_lines(spark: SparkSession, root: str) -> DataFrame:
     """(path, line, n_lines) of every CSV under ``root``, in one distributed pass over the files."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").text(root)
@@ -261,17 +267,60 @@ def load_table(spark: SparkSession, path: str, rows: int | None = None) -> DataF
     return df if rows is None else df.limit(rows)
 
 
+#: A field of a record behind a comma: quoted, with what stands behind its closing quote, or plain.
+FIELD = r',("[^"]*(?:""[^"]*)*"[^,]*|[^,]*)'
+LOG = "table string, status string, n_rows bigint, n_columns bigint, skipped bigint, note string"
+
+
+def load_log(spark: SparkSession, folder: str) -> DataFrame:
+    """(table, status, n_rows, n_columns, skipped, note) of every CSV of a folder, from passes over all files together.
+
+    Files are dealt to tasks, and one that can't be read ends neither the others nor the job: its table has failed. ``skipped``: records
+    with more fields than the header.
+    """
+    if not exists(spark, folder):
+        return spark.createDataFrame([], LOG)
+    children = list_children(spark, folder)
+    if not children:
+        return spark.createDataFrame([], LOG)
+    base, system = _path(spark, folder)
+    prefix = system.getFileStatus(base).getPath().toString().rstrip("/")
+    sizes = {c.name: 0 for c in children}
+    files = system.listFiles(base, True)
+    while files.hasNext():
+        status = files.next()
+        rest = status.getPath().toString()[len(prefix) + 1 :].split("/")
+        if rest[0] in sizes and not rest[-1].startswith(("_", ".")):
+            sizes[rest[0]] += status.getLen()
+    known = spark.createDataFrame([(c.name, c.stem, sizes[c.name]) for c in children], "child string, table string, size long")
+    options = {"ignoreCorruptFiles": "true", "recursiveFileLookup": "true"}
+    paths = [c.path for c in children]
+    begins, _ = records.blocks(spark, paths, **options)
+    inside = F.substring(_plain_path("path"), F.lit(len(_flat(prefix)) + 2), F.lit(1 << 20))
+    found = records.read_records(spark, paths, begins, **options).select(
+        "path", F.split_part(inside, F.lit("/"), F.lit(1)).alias("child"), "first", F.regexp_count(F.concat(F.lit(","), "record"), F.lit(FIELD)).alias("fields"),
+        F.col("record").endswith(",").alias("open_end"),
+    )
+    heads = found.filter("first").select("path", F.col("fields").alias("width"))
+    # An empty field behind the last one is no field.
+    extra = F.col("fields") > F.col("width") + F.when(F.col("open_end"), 1).otherwise(0)
+    counted = found.join(heads, "path").groupBy("child").agg(
+        F.count_if(~F.col("first") & ~extra).alias("n_rows"), F.max("width").cast("bigint").alias("n_columns"), F.count_if(~F.col("first") & extra).alias("skipped")
+    )
+    note = F.when(F.col("n_columns").isNotNull(), "").when(F.col("size") == 0, "empty").otherwise("unreadable")
+    zero = F.lit(0).cast("bigint")
+    return known.join(counted, "child", "left").select(
+        "table", F.when(F.col("n_columns").isNotNull(), "loaded").otherwise("failed").alias("status"), F.coalesce("n_rows", zero).alias("n_rows"),
+        F.coalesce("n_columns", zero).alias("n_columns"), F.coalesce("skipped", zero).alias("skipped"), note.alias("note"),
+    )
+
+
 def load_all_csvs(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Every CSV of a folder by stem (a file, or a folder of parts named like one), and a load log with those that failed."""
-    tables, log = {}, []
-    if exists(spark, folder):
-        for info in list_children(spark, folder):
-            try:
-                tables[info.stem] = load_table(spark, info.path)
-                log.append((info.stem, "loaded", len(tables[info.stem].columns), ""))
-            except Exception as e:
-                log.append((info.stem, "failed", 0, type(e).__name__))
-    return tables, spark.createDataFrame(log, "table string, status string, n_columns int, note string")
+    """Every CSV of a folder that loads, by stem (a file, or a folder of parts named like one), and the log of all of them."""
+    log = stored(load_log(spark, folder))
+    loaded = {r["table"] for r in log.filter("status = 'loaded'").select("table").collect()}
+    tables = {info.stem: load_table(spark, info.path) for info in list_children(spark, folder) if info.stem in loaded} if loaded else {}
+    return tables, log
 
 
 def discover_datasets(spark: SparkSession, root: str) -> DataFrame:

@@ -49,9 +49,9 @@ def open_after(line: str, inside: bool) -> bool:
             return False
 
 
-def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def lines(spark: SparkSession, path: str | list[str], **options: str) -> DataFrame:
     """(path, start, value): lines of the files; those of a split come in order."""
-    text = spark.read.option("lineSep", "\n").text(path)
+    text = spark.read.options(lineSep="\n", **options).text(path)
     return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.make_valid_utf8("value").alias("value"))
 
 
@@ -84,9 +84,9 @@ def _functions(batches):
         yield pa.RecordBatch.from_pylist(rows, pa.schema([("path", pa.string()), ("start", pa.int64()), ("outside", pa.bool_()), ("inside", pa.bool_()), ("broken", pa.bool_())]))
 
 
-def blocks(spark: SparkSession, path: str | list[str]) -> tuple[dict[tuple[str, int], bool], bool]:
+def blocks(spark: SparkSession, path: str | list[str], **options: str) -> tuple[dict[tuple[str, int], bool], bool]:
     """How each split begins (inside a quoted field or not), and whether any record has a line break in it."""
-    found = lines(spark, path).mapInArrow(_functions, "path string, start bigint, outside boolean, inside boolean, broken boolean").collect()
+    found = lines(spark, path, **options).mapInArrow(_functions, "path string, start bigint, outside boolean, inside boolean, broken boolean").collect()
     begins: dict[tuple[str, int], bool] = {}
     last, state = None, False
     for r in sorted(found, key=lambda r: (r["path"], r["start"])):
@@ -149,14 +149,14 @@ def _cut(begins):
     return run
 
 
-def read_records(spark: SparkSession, path: str | list[str], begins: dict[tuple[str, int], bool]) -> DataFrame:
+def read_records(spark: SparkSession, path: str | list[str], begins: dict[tuple[str, int], bool], **options: str) -> DataFrame:
     """(path, first, record): the records of the files; ``first``: it is the first of its file."""
     sent = spark.sparkContext.broadcast(begins)
 
     def cut(batches):
         yield from _cut(sent.value)(batches)
 
-    found = lines(spark, path).mapInArrow(cut, FRAGMENTS)
+    found = lines(spark, path, **options).mapInArrow(cut, FRAGMENTS)
     whole = found.filter(F.col("kind").isin(RECORD, FIRST)).select("path", (F.col("kind") == FIRST).alias("first"), F.col("text").alias("record"))
     # At most two fragments for a split: those behind a beginning belong to it.
     order = F.expr("count_if(kind = 1) OVER (PARTITION BY path ORDER BY start, kind DESC)")
