@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from weekgrid.llm.common import over_batches
 
 END = "\n</turn>\n"
-MARK = re.compile(r"(\\*)(### [A-Za-z0-9_%-]*: |</turn>)")
+# A run of backslashes is looked at from its beginning only, so a long one costs its length.
+MARK = re.compile(r"(?<!\\)(\\*)(### [A-Za-z0-9_%-]*: |</turn>)")
 TRAINED = "assistant"  # the role whose texts are under the loss mask
 
 

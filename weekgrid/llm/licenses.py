@@ -2,17 +2,17 @@
 
 Texts are lower-cased (A-Z) and reduced to words joined by single spaces. A notice of k allowed edits is cut into k + 1
 seeds; k edits cannot touch all of them, so one seed stands unchanged in every occurrence (pigeonhole). One
-Aho-Corasick pass over all seeds locates candidates, overlapping candidate windows of a notice merge, and the regex
-library's bounded-error matching verifies each window and reports the span and its edits.
+Aho-Corasick pass over all seeds locates candidates, and the regex library's bounded-error matching verifies the window around each,
+which the notice's length bounds, and reports the span and its edits.
 
 Defined cases: a null or empty text has no words, no spans and score 0. Overlapping finds of different notices
-are all reported; of one notice the leftmost best matches that don't overlap.
+are all reported; of one notice those that don't overlap, fewer edits first, then the leftmost.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -73,16 +73,18 @@ def fuzzy(joined: str, notices: tuple = NOTICES, chars_per_edit: int = CHARS_PER
             seen.setdefault(n, []).append(last + 1 - size - offset)
     for n, begins in seen.items():
         edits, pattern = patterns[n]
-        length, windows = len(notices[n][0]), []
-        for begin in sorted(begins):
-            a, b = max(0, begin - edits), min(len(joined), begin + length + edits)
-            if windows and a <= windows[-1][1]:
-                windows[-1][1] = max(b, windows[-1][1])
-            else:
-                windows.append([a, b])
-        for a, b in windows:
-            for m in pattern.finditer(joined, a, b):
-                yield n, m.start(), m.end(), sum(m.fuzzy_counts)
+        length = len(notices[n][0])
+        # Around every place a seed tells of, the best match: what a search reads is bounded by the notice, not by the text.
+        found = set()
+        for begin in sorted(set(begins)):
+            if m := pattern.search(joined, max(0, begin - edits), min(len(joined), begin + length + edits)):
+                found.add((sum(m.fuzzy_counts), m.start(), m.end()))
+        taken: list[tuple[int, int]] = []
+        for cost, a, b in sorted(found):
+            at = bisect_right(taken, (a, b))
+            if (at == 0 or taken[at - 1][1] <= a) and (at == len(taken) or b <= taken[at][0]):
+                taken.insert(at, (a, b))
+                yield n, a, b, cost
 
 
 def scan(text: str | None, phrases: tuple = PHRASES, notices: tuple = NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> dict:
@@ -91,20 +93,20 @@ def scan(text: str | None, phrases: tuple = PHRASES, notices: tuple = NOTICES, c
     low = re.sub("[A-Z]+", lambda m: m[0].lower(), text)
     joined = " ".join(words := WORD.findall(low))
     framed = f" {joined} "
+    begins = [0]  # of the words in the joined text
+    for w in words:
+        begins.append(begins[-1] + len(w) + 1)
     exact, found = [], []
     for phrase, label in phrases:
         at = framed.find(f" {phrase} ")
         while at >= 0:
-            exact.append((framed.count(" ", 0, at), len(phrase.split()), label))
+            exact.append((bisect_left(begins, at), len(phrase.split()), label))
             at = framed.find(f" {phrase} ", at + 1)
     for n, a, b, edits in fuzzy(joined, notices, chars_per_edit):
         found.append((notices[n][1], a, b, 1 - edits / len(notices[n][0])))
     spans = []
     if exact or found:
         places = [m.span() for m in WORD.finditer(low)]
-        begins = [0]  # of the words in the joined text
-        for w in words:
-            begins.append(begins[-1] + len(w) + 1)
 
         def place(i: int) -> int:
             """Where a position of the joined text lies in the text itself."""

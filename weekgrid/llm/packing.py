@@ -17,11 +17,13 @@ Defined cases: the name of an added token in a text is that token, as the ``toke
 from __future__ import annotations
 
 import base64
+import re
 import zlib
-from functools import lru_cache, partial
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,6 +45,22 @@ def _tokenizer(path: str, pattern: str):
     return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=ADDED)
 
 
+def encode(path: str, pattern: str, text: str) -> list[int]:
+    """The ids of a text. A run of blanks that is too long for the encoder's own splitting is split by the ``regex`` module."""
+    own = _tokenizer(path, pattern)
+    try:
+        return own.encode(text, allowed_special="all", disallowed_special=())
+    except ValueError:
+        ids: list[int] = []
+        for part in re.split(f"({'|'.join(map(re.escape, ADDED))})", text):
+            if part in ADDED:
+                ids.append(ADDED[part])
+            else:
+                for piece in regex.findall(pattern, part):
+                    ids += own._encode_single_piece(piece)
+        return ids
+
+
 def cut(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of a document of ``total`` tokens; only the first may be shorter."""
     first = total % capacity or min(total, capacity)
@@ -57,10 +75,9 @@ def document_pieces(
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32 and, if asked for, the ids as little-endian bytes."""
 
     def pieces(batches):
-        encode = partial(_tokenizer(path, pattern).encode, allowed_special="all", disallowed_special=())
         for batch in batches:
             for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = np.array([*encode(text.as_py() or ""), CLOSING], dtype="<u4")
+                ids = np.array([*encode(path, pattern, text.as_py() or ""), CLOSING], dtype="<u4")
                 for i, (start, length) in enumerate(cut(len(ids), capacity)):
                     own = ids[start : start + length].tobytes()
                     row = {"doc_id": doc.as_py(), "piece": i, "start": start, "length": length, "ids_crc32": zlib.crc32(own)}
