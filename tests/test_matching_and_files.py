@@ -1,10 +1,12 @@
 """Fuzzy matching against brute force, and readers over hand-written files."""
 
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from weekgrid.functions import scalars
 from weekgrid.operators import matching
 from weekgrid.plans import steps
@@ -60,6 +62,49 @@ def test_block_scores_equal_single_ones():
     assert matching.Offers([]).scores("a").tolist() == [] and matching.Offers([""]).scores("").tolist() == [100.0]
 
 
+def test_falling_bound_finds_the_first_best():
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdé xyz") for _ in range(rng.randint(0, 30))) for _ in range(3000)] + ["", "a\0b"]
+    offers = matching.Offers(words)
+    for name in [*("".join(rng.choice("abcdé xyzq") for _ in range(rng.randint(0, 30))) for _ in range(60)), "", "x" * 70, "a\0b", words[5]]:
+        scores = offers.scores(name)
+        at, score = offers.best(name)
+        assert (at, score) == (int(scores.argmax()), float(scores.max()))
+
+
+def test_scored_pairs_grow_less_than_all():
+    rng = random.Random(2)
+    first = ["".join(rng.choice("aeioubcdfgklmnprst") for _ in range(rng.randint(3, 8))) for _ in range(400)]
+    people = [f"{rng.choice(first)} {rng.choice(first)}" for _ in range(16_000)]
+    asked = [p[:3] + rng.choice("xyz") + p[4:] for p in rng.sample(people, 60)]
+    scored = []
+    for n in (4_000, 16_000):
+        offers = matching.Offers(people[:n])
+        for name in asked:
+            offers.best(name)
+        scored.append(offers.scored)
+    assert scored[1] < 2.8 * scored[0] and scored[1] < 0.2 * len(asked) * 16_000, scored
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not mounted")
+def test_whole_tables_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    parts = spark.read.parquet(f"{folder}/part.parquet").collect()
+    names = {r["p_name"] for r in parts} | {"crew " + r["s_name"] for r in spark.read.parquet(f"{folder}/supplier.parquet").collect()}
+    order, last_id = {}, {}
+    for r in sorted(parts, key=lambda r: r["p_partkey"]):
+        name = f"{r['p_name'].split(' ')[-1]} {r['p_brand']}"
+        order.setdefault(name, r["p_partkey"])
+        last_id[name] = r["p_partkey"]
+    key = lambda s: " ".join(sorted(s.split()))
+    want = set()
+    for name in names:
+        best = min(order, key=lambda n: (-round(matching.similarity(key(name), key(n)), 9), order[n]))
+        want.add((name, best, round(matching.similarity(key(name), key(best)), 6), last_id[best]))
+    got = entry.queries()["U1_J13_fuzzy_matches"](spark, folder).collect()
+    assert {(r["injury_name"], r["candidate_name"], round(r["match_score"], 6), r["player_id"]) for r in got} == want
+
+
 def test_many_unlike_names_end(spark):
     """Names that no filter settles: the scan alone has to be fast enough."""
     names = spark.range(2000).select(F.concat(F.lit("qx "), F.md5(F.col("id").cast("string"))).alias("injury_name"))

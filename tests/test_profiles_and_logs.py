@@ -95,3 +95,36 @@ def test_coverage_of_several_pairs(spark):
     assert found["players_vs_one", "right_only"] == 9 and found["players_vs_one", "both"] == 2 and ("players_vs_two", "both") not in found
     plan = members._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_lookups_skip_files_and_row_groups(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from weekgrid.sources import sinks
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    panel = spark.range(400_000).select((F.col("id") % 5000 * 2).alias("player_id"), F.date_add(F.lit("2020-01-06"), (F.col("id") / 5000).cast("int") * 7).alias("week_start"),
+                                        (F.col("id") % 2 + 2020).cast("int").alias("season"), F.md5(F.col("id").cast("string")).alias("x"))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_lookup_panel(panel, str(tmp_path / "p"), group=1 << 18)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    groups = holding = 0
+    for file in (tmp_path / "p").glob("part-*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        for g in range(meta.num_row_groups):
+            column = next(c for c in (meta.row_group(g).column(i) for i in range(meta.num_columns)) if c.path_in_schema == "player_id")
+            groups += 1
+            holding += column.statistics.min <= 4000 <= column.statistics.max
+    assert groups >= 8 and holding <= groups / 3
+    assert any(b"parquet-mr" in (pq.ParquetFile(f).metadata.created_by or "").encode() for f in (tmp_path / "p").glob("part-*.parquet"))
+    read = spark.read.parquet(str(tmp_path / "p"))
+    assert read.filter("player_id = 4000").count() == 80
+    # An odd id lies inside the ranges, but in no filter: not a single row leaves the scan.
+    query = read.filter("player_id = 4001").select("x")
+    assert query.collect() == [] and "PushedFilters: [IsNotNull(player_id), EqualTo(player_id,4001)]" in query._jdf.queryExecution().executedPlan().toString()
+    scan = query._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() == 0

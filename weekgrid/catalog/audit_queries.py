@@ -8,7 +8,7 @@ from .. import schemas as S
 from ..functions import scalars
 from ..operators import audits, cleaning, explore, joins, profile
 from ..operators.features import KEY, WEEK
-from .panel_queries import VALID_FROM, bigints, cohort, kept_panel, rounded
+from .panel_queries import VALID_FROM, bigints, cohort, kept_panel, lookup_panel, rounded
 from .registry import query
 
 
@@ -504,7 +504,7 @@ SELECT player_id, week_start, season::BIGINT AS season, minutes_last_4w::DOUBLE
 WHERE player_id = 7
 """)
 def player_rows(t):
-    return bigints(explore.player_rows(kept_panel(t), 7, [KEY, WEEK, "season", "minutes_last_4w"]))
+    return bigints(explore.player_rows(lookup_panel(t), 7, [KEY, WEEK, "season", "minutes_last_4w"]))
 
 
 @query("X5_name_search", """
@@ -532,16 +532,24 @@ SELECT a.player_id, a.game_id, a.date, coalesce(a.minutes_played, -1)::DOUBLE AS
 FROM appearances a LEFT JOIN games g ON a.game_id = g.game_id WHERE player_id = 7
 """)
 def trace_matches(t):
-    rows = explore.trace_player(cohort(t), t.appearances, t.games, t.injuries, 7)["matches"]
+    rows = explore.trace_player(lookup_panel(t), t.appearances, t.games, t.injuries, 7)["matches"]
     minutes = F.coalesce(F.col("minutes_played").cast("double"), F.lit(-1.0)).alias("minutes_played")
     return bigints(rows.select(KEY, "game_id", "date", minutes, "game_date", "season"))
 
 
+@query("X8_trace_panel", """
+SELECT player_id, week_start, competition_id, season::BIGINT AS season, minutes_last_4w::DOUBLE AS minutes_last_4w, target::BIGINT AS target FROM panel WHERE player_id = 7
+""")
+def trace_panel(t):
+    rows = explore.trace_player(lookup_panel(t), t.appearances, t.games, t.injuries, 7)["panel"]
+    return bigints(rows.select(KEY, WEEK, "competition_id", "season", "minutes_last_4w", "target"))
+
+
 @query("X8_trace_intervals", """
 SELECT player_id, injury_start, coalesce(injury_end, DATE '1900-01-01') AS injury_end, coalesce(days_out, -1)::DOUBLE AS days_out
 FROM injuries WHERE player_id = 7
 """)
 def trace_intervals(t):
-    rows = explore.trace_player(cohort(t), t.appearances, t.games, t.injuries, 7)["injuries"]
+    rows = explore.trace_player(lookup_panel(t), t.appearances, t.games, t.injuries, 7)["injuries"]
     end = F.coalesce("injury_end", F.lit("1900-01-01").cast("date")).alias("injury_end")
     return rows.select(KEY, "injury_start", end, F.coalesce("days_out", F.lit(-1.0)).alias("days_out"))

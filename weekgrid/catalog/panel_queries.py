@@ -9,7 +9,7 @@ from ..operators import cleaning, features, grid, labels, temporal
 from ..operators.features import KEY, WEEK
 from ..plans.panel import PanelInputs, build_panel
 from ..session import shared_dir
-from ..sources.sinks import StageStore
+from ..sources.sinks import StageStore, write_lookup_panel
 from .registry import query
 
 VALID_FROM, TEST_FROM = "2000-01-01", "2000-10-01"
@@ -47,6 +47,11 @@ def kept_panel(t):
     return stages(t).get("panel", lambda: panel(t))
 
 
+def lookup_panel(t):
+    """The kept panel once more, laid out for reading single players."""
+    return stages(t).get("panel_by_player", lambda: kept_panel(t), write=write_lookup_panel)
+
+
 def rounded(df, *columns, digits: int = 6):
     """Half away from zero, in plain double arithmetic (``round`` goes through decimals, row by row)."""
     scale = 10.0**digits

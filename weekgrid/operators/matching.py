@@ -9,8 +9,10 @@ of cost:
    (prefix filter). A best score at or above the bar found this way is therefore the true best. Names whose
    pairs occur in too large a share of the candidates are not joined at all, so no group of a frequent pair is expanded;
 3. the rest: names and candidates are hashed into a grid of bounded cells, each cell emits only its best
-   candidate per name, and the partial bests are merged by an aggregate. A cell scores a name against its whole
-   block with one machine word per candidate.
+   candidate per name, and the partial bests are merged by an aggregate. Inside a cell, candidates of one length and one count of
+   characters by class are a bucket. What two strings have in common is at most what their counts have, so a bucket has an upper bound
+   for its scores; buckets are visited by falling bound and left once it is below the best score found. Those that are
+   visited are scored with one machine word per candidate.
 
 Scores are 200 * LCS / (length + length).
 """
@@ -35,6 +37,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BATCH = 2_000
 BLOCK = 20_000
 COMMON_SHARE = 0.05  # of all candidates; names whose needed pairs occur in more of them are scanned
+CLASSES = 24  # of characters, whose counts bound what two strings have in common
 WORD = 64  # characters of a name that one machine word holds
 
 
@@ -72,6 +75,43 @@ class Offers:
         codes = np.array(keys, dtype=str).view(np.uint32).reshape(len(keys), -1) if any(keys) else np.zeros((len(keys), 0), np.uint32)
         self.letters, self.codes = np.unique(codes, return_inverse=True)
         self.codes = self.codes.reshape(codes.shape)
+        self.scored = 0  # candidates that best() has scored
+        counts = np.zeros((len(keys), CLASSES), np.int32)
+        for column in codes.T:
+            # Padding is no character; a zero inside a key would be, but then the key is scored by itself.
+            counts[np.arange(len(keys)), column % CLASSES] += column > 0
+        signature = np.concatenate([self.lengths[:, None], counts], axis=1)
+        buckets, owner = np.unique(signature, axis=0, return_inverse=True)
+        self.bucket_lengths, self.bucket_counts = buckets[:, 0], buckets[:, 1:]
+        self.members = np.argsort(owner.ravel(), kind="stable")
+        self.begin = np.searchsorted(owner.ravel()[self.members], np.arange(len(buckets) + 1))
+        self.odd = np.array([i for i, k in enumerate(keys) if "\0" in k], dtype=np.int64)
+
+    def bounds(self, name: str) -> np.ndarray:
+        """No candidate of a bucket scores higher than this."""
+        own = np.bincount(np.array([ord(c) % CLASSES for c in name], dtype=np.int64), minlength=CLASSES)
+        both = len(name) + self.bucket_lengths
+        return np.where(both > 0, 200.0 * np.minimum(self.bucket_counts, own).sum(axis=1) / np.maximum(both, 1), 100.0)
+
+    def best(self, name: str) -> tuple[int, float]:
+        """The first of the candidates with the highest score, and the score."""
+        bounds = self.bounds(name)
+        order = np.argsort(-bounds, kind="stable")
+        best, score = -1, -1.0
+        if len(self.odd):  # keys that the counts don't describe
+            own = self.scores(name, self.odd)
+            best, score = int(self.odd[own.argmax()]), float(own.max())
+        step, at = 4, 0
+        while at < len(order) and bounds[order[at]] >= score - 1e-9:
+            chosen = order[at : at + step]
+            rows = np.sort(np.concatenate([self.members[self.begin[b] : self.begin[b + 1]] for b in chosen]))
+            own = self.scores(name, rows)
+            self.scored += len(rows)
+            top = int(own.argmax())
+            if own[top] > score or own[top] == score and rows[top] < best:
+                best, score = int(rows[top]), float(own[top])
+            at, step = at + step, min(step * 2, 256)
+        return best, score
 
     def scores(self, name: str, of: np.ndarray | slice = slice(None)) -> np.ndarray:
         lengths = self.lengths[of]
@@ -150,9 +190,8 @@ def _scan_cell(names: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
     keys, places = candidates["candidate_key"].tolist(), candidates["place"].tolist()
     offers = Offers(keys)
     for name in names["name_key"] if keys else ():
-        scores = offers.scores(name)
-        at = int(scores.argmax())
-        out.append((name, float(scores[at]), places[at], keys[at]))
+        at, score = offers.best(name)
+        out.append((name, score, places[at], keys[at]))
     return pd.DataFrame(out, columns=["name_key", "match_score", "place", "candidate_key"])
 
 

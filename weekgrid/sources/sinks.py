@@ -31,6 +31,16 @@ def write_panel(panel: DataFrame, path: str, partition: str | None = "season") -
     writer.parquet(path)
 
 
+def write_lookup_panel(panel: DataFrame, path: str, key: str = "player_id", group: int = 1 << 20) -> None:
+    """The panel laid out for reading single entities: files by season and range of the key, sorted inside, with Bloom filters of the key.
+
+    A reader of one entity skips files and row groups by their key ranges, and those whose range holds the key by the filter. ``group``: bytes of a row group.
+    """
+    layout = panel.repartitionByRange("season", key).sortWithinPartitions("season", key, "week_start")
+    filters = {f"parquet.bloom.filter.enabled#{key}": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.block.size": str(group)}
+    layout.write.mode("overwrite").options(**filters).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
@@ -174,14 +184,16 @@ class StageStore:
     def has(self, stage: str) -> bool:
         return stage in self.current or bool(self.keys(stage))
 
-    def get(self, stage: str, build: Callable[[], DataFrame], *settings: object) -> DataFrame:
-        """The stage as ``build`` describes it, computed unless it is there. ``settings``: what its plan doesn't show."""
+    def get(
+        self, stage: str, build: Callable[[], DataFrame], *settings: object, write: Callable[[DataFrame, str], None] | None = None
+    ) -> DataFrame:
+        """The stage as ``build`` describes it, computed unless it is there. ``settings``: what its plan doesn't show; ``write``: its layout."""
         df = build()
         key = fingerprint(df, stage, *settings)
         if self.files.exists(f"{stage}/{key}"):
             self.reused.append(stage)
         else:
-            self.files.publish(f"{stage}/{key}", df.write.parquet)
+            self.files.publish(f"{stage}/{key}", (lambda path: write(df, path)) if write else df.write.parquet)
             self.built.append(stage)
         self.current[stage] = key
         return self.load(stage)
