@@ -65,27 +65,74 @@ CUES = {
 }
 VOTES = ("strict", "structure", "known", "cue", "glued")
 CONTEXT = 40  # characters before a span that are searched for cues
-SPAN = "struct<start:int, end:int, value:string>"
+SPAN = "struct<start:int, end:int, value:string, before:string, after:string>"
 
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _running(items: Column, kind: str, first: Column, step, close, given=lambda at, part: F.lit(0)):
+    """What ``step(at, item, given)``, (the next ``at``, an array to append), makes of all items in order, and the last ``at``.
+
+    Appending copies an array, so the items are taken in blocks of about the cube root of their number; ``close`` makes one
+    value of what a block appended (values of ``kind``), ``given(at, block)`` something its steps share. The state is
+    struct(at, out), ``out`` having a value for each block.
+    """
+    empty = F.expr(f"cast(array() AS array<{kind}>)")
+
+    def whole(held: Column) -> Column:
+        size = F.greatest(F.ceil(F.cbrt(2.0 * F.size(held))).cast("int"), F.lit(1))
+
+        def steps(begin: Column, own: Column) -> Column:
+            def one(done: Column, item: Column) -> Column:
+                at, new = step(done["at"], item, own["given"])
+                return F.struct(at.alias("at"), F.concat(done["out"], new).alias("out"))
+
+            return F.aggregate(own["items"], F.struct(begin.alias("at"), empty.alias("out")), one)
+
+        def block(done: Column, k: Column) -> Column:
+            part = F.slice(held, k, size)
+            # An array of one value is a value that is made once, however often it is read.
+            own = F.array(F.struct(part.alias("items"), given(done["at"], part).alias("given")))
+            made = F.transform(own, lambda o: steps(done["at"], o))
+            return F.transform(made, lambda p: F.struct(p["at"].alias("at"), F.concat(done["out"], F.array(close(p["out"]))).alias("out")))[0]
+
+        starts = F.when(F.size(held) > 0, F.sequence(F.lit(1), F.size(held), size)).otherwise(F.expr("cast(array() AS array<int>)"))
+        return F.aggregate(starts, F.struct(first.alias("at"), F.slice(F.array(close(empty)), 1, 0).alias("out")), block)
+
+    return F.transform(F.array(items), whole)[0]
+
+
 def places(text: Column, pattern: str, hint: Column) -> Column:
-    """Leftmost non-overlapping matches as an array of (start, end, value); texts without the hint are not searched."""
+    """Leftmost non-overlapping matches as an array of ``SPAN``; texts without the hint are not searched.
+
+    What stands before and after a match is taken from the texts between matches: a substring of the whole text would be
+    counted from its start for each of them.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(m.alias("m"), gap.alias("gap")))
+    gaps = F.transform(between, lambda g: F.struct(g.alias("gap"), F.substring(g, 1, 1).alias("first"), F.right(g, F.lit(CONTEXT)).alias("last")))
 
-    def step(done: Column, pair: Column) -> Column:
-        start = done["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), pair["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
+    def paired(held: Column) -> Column:
+        m, g = held["m"], held["gaps"]
+        after = F.zip_with(F.slice(g, 2, F.size(m)), F.slice(m, 2, F.size(m)), lambda gap, n: F.coalesce(F.nullif(gap["first"], F.lit("")), F.substring(n, 1, 1), F.lit("")))
+        ahead = F.zip_with(m, F.slice(g, 1, F.size(m)), lambda n, gap: F.struct(n.alias("m"), F.length(gap["gap"]).alias("skip"), gap["last"].alias("last")))
+        return F.zip_with(ahead, after, lambda p, c: F.struct(p.alias("p"), c.alias("after")))
 
-    zero = F.expr(f"named_struct('at', 0, 'spans', cast(array() AS array<{SPAN}>))")
-    return F.when(hint & text.rlike(pattern), F.aggregate(pairs, zero, step)["spans"]).otherwise(F.expr(f"cast(array() AS array<{SPAN}>)"))
+    pairs = F.transform(F.array(F.struct(found.alias("m"), gaps.alias("gaps"))), paired)[0]
+
+    def step(at: Column, pair: Column, _) -> tuple[Column, Column]:
+        value = pair["p"]["m"]
+        start = at["at"] + pair["p"]["skip"]
+        end = start + F.length(value)
+        before = F.right(F.concat(at["tail"], pair["p"]["last"]), F.lit(CONTEXT))
+        span = F.struct(start.alias("start"), end.alias("end"), value.alias("value"), before.alias("before"), pair["after"].alias("after"))
+        return F.struct(end.alias("at"), F.right(F.concat(before, value), F.lit(CONTEXT)).alias("tail")), F.array(span)
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
+    spans = F.flatten(_running(pairs, SPAN, first, step, lambda out: out)["out"])
+    return F.when(hint & text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() AS array<{SPAN}>)"))
 
 
 def is_base(kind: str, value: Column) -> Column:
@@ -125,10 +172,8 @@ def candidates(text: Column) -> Column:
         def judged(span: Column) -> Column:
             value = span["value"]
             base = is_base(kind, value) if strict else F.lit(False)
-            before = F.substring(text, F.greatest(span["start"] - CONTEXT + 1, F.lit(1)), F.least(span["start"], F.lit(CONTEXT)))
-            # The characters on either side; positions count from 1, and 0 would count from the end.
-            left = F.substring(text, span["start"], F.least(span["start"], F.lit(1)))
-            beside = F.concat(left, F.lit(" "), F.substring(text, span["end"] + 1, F.lit(1)))
+            before = span["before"]
+            beside = F.concat(F.right(before, F.lit(1)), F.lit(" "), span["after"])
             votes = (
                 F.when(base, 1).otherwise(0),
                 _vote(_structure(kind, value)),
@@ -213,7 +258,9 @@ def spans_column(text: Column, weights: dict[str, float] | None) -> Column:
         return c["base"] | (z >= 0)
 
     kept = F.filter(candidates(text), accepted)
-    return F.array_distinct(F.array_sort(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base")))))
+    spans = F.array_sort(F.transform(kept, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"))))
+    # Sorted, so that equal ones are neighbours; ``array_distinct`` compares every two structs.
+    return F.transform(F.array(spans), lambda held: F.filter(held, lambda x, i: (i == 0) | (x != F.get(held, i - 1))))[0]
 
 
 def listing(spans: Column) -> Column:
@@ -233,11 +280,14 @@ def masked(text: Column, spans: Column) -> Column:
     tags = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("less"), s["kind"].alias("kind"))))
 
-    def step(done: Column, s: Column) -> Column:
-        fresh, end = s["start"] >= done["at"], -s["less"]
-        piece = F.concat(F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.element_at(tags, s["kind"] + 1))
-        return F.struct(F.greatest(done["at"], end).alias("at"), F.when(fresh, F.concat(done["out"], F.array(piece))).otherwise(done["out"]).alias("out"))
+    def ahead(at: Column, part: Column) -> Column:
+        """The text up to a block's last start, so that its pieces aren't counted from the start of the whole text."""
+        return F.struct(at.alias("from"), F.substring(text, at + 1, F.element_at(part, -1)["start"] - at).alias("text"))
+
+    def step(at: Column, s: Column, given: Column) -> tuple[Column, Column]:
+        piece = F.concat(F.substring(given["text"], at - given["from"] + 1, s["start"] - at), F.element_at(tags, s["kind"] + 1))
+        return F.greatest(at, -s["less"]), F.when(s["start"] >= at, F.array(piece)).otherwise(F.expr("cast(array() AS array<string>)"))
 
-    zero = F.expr("named_struct('at', 0, 'out', cast(array() AS array<string>))")
-    done = F.aggregate(ordered, zero, step, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))
+    done = F.array(_running(ordered, "string", F.lit(0), step, lambda out: F.array_join(out, ""), ahead))
+    done = F.transform(done, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, d["at"] + 1, F.length(text))))[0]
     return F.when(F.size(spans) > 0, done).otherwise(text)
